@@ -12,7 +12,7 @@ WORD = r"(?U)\w+"
 WORD_OF_TWO = r"(?U)\w{2,}"
 NON_SPACE = r"(?U)\S"
 NON_SPACE_RUN = r"(?U)\S+"
-LINE_BREAK = "\r\n|[\n\u000b\u000c\r\u001c\u001d\u001e\u0085  ]"
+LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C\x1D\x1E\x85\u2028\u2029]"
 # ----------------------------------------------------------------------------------
 
 
