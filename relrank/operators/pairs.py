@@ -46,11 +46,6 @@ def input_checks(judgments: DataFrame, queries: DataFrame, products: DataFrame)
     return rows.withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
-def training_view(judgments: DataFrame, split: str, keys: list[str]) -> DataFrame:
-    """One split's judgments, with the grade renamed for a 1:1 join onto a ranking."""
-    return judgments.filter(F.col("split") == split).select(*keys, "relevance_score")
-
-
 def attach_grades(ranking: DataFrame, judgments: DataFrame) -> DataFrame:
     """Ranking joined to the judged grade on (query, product)."""
     truth = judgments.select("query_id", "product_id", F.col("relevance_score").cast("int"))
