@@ -82,7 +82,7 @@ def evaluate_groups(
         raise ValueError(f"The {family} family needs the full candidate grades.")
     keys = keys or ["query_id"]
     ks = cutoffs(ks)
-    fixed = ks[0] if len(ks) == 1 else FIXED_CUTOFF
+    fixed = FIXED_CUTOFF if family == "retrieved" or len(ks) > 1 else ks[0]
     deepest = max([*ks, fixed])
     g = F.coalesce(F.col(grade).cast("int"), F.lit(0))
     top = ranked.filter(F.col("rank") <= deepest).select(
