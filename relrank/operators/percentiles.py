@@ -81,16 +81,17 @@ def describe(
 
 
 def histogram(values: DataFrame, keys: list[str], bins: int = 30, value: str = "value") -> DataFrame:
-    """Equal-width bins between a group's smallest and largest value; the last bin is closed."""
+    """`keys` name the described column. Equal-width bins between a group's smallest and largest value; the last bin is closed."""
     v = F.col(value).cast("double")
     present = values.filter(v.isNotNull()).select(*keys, v.alias("v"))
     ends = present.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     place = F.floor((F.col("v") - F.col("lo")) / F.nullif(width, F.lit(0.0)))
     # Counted per distinct value first, so that the join with the ends carries counts, not rows.
+    # The ends have one row per described column, which bounds what is broadcast.
     counted = present.groupBy(*keys, "v").agg(F.count("*").alias("n"))
     return (
-        counted.join(ends, keys)
+        counted.join(F.broadcast(ends), keys)
         .withColumn("bin", F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int"))
         .groupBy(*keys, "bin", F.round(F.col("lo") + F.col("bin") * width, 6).alias("lower"))
         .agg(F.sum("n").alias("count"))
