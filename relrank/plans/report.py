@@ -22,6 +22,7 @@ STRING_TIES = ("bm25", "semantic")  # retrievers that break ties on the id as te
 TOLERANCE = 1e-12
 TOP = 10
 SUCCESS_ROWS = 25
+NDCG_DIGITS = 12  # equal lists give equal values, whatever order their terms are added in
 # ----------------------------------------------------------------------------------
 
 
@@ -87,7 +88,9 @@ def list_ndcg(scored: DataFrame, models: tuple[str, ...], keys: list[str]) -> Da
     per_group = metrics.evaluate_groups(top, "list", (TOP,), keys=["model", *keys])
     return per_group.groupBy(*keys).agg(
         *[
-            F.max(F.when(F.col("model") == m, F.col("ndcg_at_10"))).alias(f"{m}_ndcg")
+            F.round(F.max(F.when(F.col("model") == m, F.col("ndcg_at_10"))), NDCG_DIGITS).alias(
+                f"{m}_ndcg"
+            )
             for m in models
         ]
     )
@@ -161,7 +164,7 @@ def loss_cases(queries: DataFrame, models: Models | None = None) -> DataFrame:
     return queries.filter(F.col(m.delta) < 0).orderBy(F.col(m.delta).asc(), "query_id")
 
 
-def failure_cases(ranks: DataFrame, models: Models | None = None) -> DataFrame:
+def failure_cases(ranks: DataFrame, queries: DataFrame, models: Models | None = None) -> DataFrame:
     """Irrelevant products inside the challenger's top ten, relevant ones below it."""
     m = models or Models()
     rank, grade = F.col(f"{m.challenger}_rank"), F.col("relevance_score")
@@ -171,9 +174,11 @@ def failure_cases(ranks: DataFrame, models: Models | None = None) -> DataFrame:
     return (
         ranks.withColumn("failure_type", kind)
         .filter(F.col("failure_type").isNotNull())
+        .join(queries.select("query_id", "query"), "query_id", "left")
         .select(
             "failure_type",
             "query_id",
+            "query",
             "product_id",
             "relevance_score",
             rank,
@@ -226,7 +231,10 @@ def category_report(scored: DataFrame, models: Models | None = None) -> DataFram
 
 
 def ambiguous_queries(scored: DataFrame, queries: DataFrame, models: Models | None = None) -> DataFrame:
-    """Queries whose relevant products span at least two top-level categories."""
+    """Queries whose relevant products span at least two top-level categories.
+
+    The collected set holds category names, so its size is that of the category list, not of the query.
+    """
     m = models or Models()
     spans = (
         with_category(scored)
