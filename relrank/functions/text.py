@@ -1,17 +1,19 @@
-"""Column expressions over text. `(?U)` makes Java's \\s and \\w follow Unicode."""
+"""Column expressions over text. Character classes are spelled out, as \\s and \\w are ASCII in Java."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: token patterns of the three text views --------------------------
-SPACE_RUN = r"(?U)\s+"
-OUTER_SPACE = r"(?U)^\s+|\s+$"
-WORD = r"(?U)\w+"
-WORD_OF_TWO = r"(?U)\w{2,}"
-NON_SPACE = r"(?U)\S"
-NON_SPACE_RUN = r"(?U)\S+"
+# --- fixed values: white space and words of the three text views --------------------
+_SPACE = r"\t-\r\x1c-\x20\x{85}\p{Z}"
+_WORD = r"[\p{L}\p{N}_]"
+SPACE_RUN = f"[{_SPACE}]+"
+OUTER_SPACE = f"^[{_SPACE}]+|[{_SPACE}]+$"
+NON_SPACE = f"[^{_SPACE}]"
+NON_SPACE_RUN = f"[^{_SPACE}]+"
+WORD = f"{_WORD}+"
+WORD_OF_TWO = f"{_WORD}{{2,}}"
 LINE_BREAK = r"\r\n|[\n\x0B\f\r\x1C\x1D\x1E\x85\u2028\u2029]"
 # ----------------------------------------------------------------------------------
 

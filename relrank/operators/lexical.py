@@ -17,6 +17,7 @@ from relrank.functions import text as tx
 from relrank.functions.numeric import score
 from relrank.functions.vectors import sparse_dot
 from relrank.operators import ranking
+from relrank.session import materialize
 
 
 @dataclass(frozen=True)
@@ -47,27 +48,30 @@ def _counts(terms: Column) -> Column:
 # BM25 ---------------------------------------------------------------------------------
 
 
-def bm25_stats(corpus: DataFrame, text: str = "product_name") -> DataFrame:
-    """One row: number of documents and mean length. An empty corpus stops the job."""
-    n = F.count("*")
-    length = F.sum(F.size(tx.space_tokens(F.col(text))))
-    return corpus.agg(n.alias("n"), length.alias("tokens")).select(
-        F.when(F.col("n") == 0, F.raise_error(F.lit("Cannot fit on an empty corpus.")).cast("long"))
-        .otherwise(F.col("n"))
-        .alias("n_documents"),
-        (F.col("tokens") / F.nullif(F.col("n"), F.lit(0))).alias("mean_length"),
-    )
+@dataclass(frozen=True)
+class Bm25Model:
+    """A fitted corpus: a term table and two numbers."""
+
+    idf: DataFrame
+    n_documents: int
+    mean_length: float
+    params: Bm25Params
 
 
-def bm25_idf(corpus: DataFrame, text: str = "product_name") -> DataFrame:
-    n = bm25_stats(corpus, text).select("n_documents").scalar()
-    terms = corpus.select(F.explode(F.array_distinct(tx.space_tokens(F.col(text)))).alias("term"))
+def fit_bm25(corpus: DataFrame, text: str = "product_name", params: Bm25Params | None = None) -> Bm25Model:
+    tokens = tx.space_tokens(F.col(text))
+    stats = corpus.agg(F.count("*").alias("n"), F.sum(F.size(tokens)).alias("tokens")).first()
+    n = stats["n"]
+    if n == 0:
+        raise ValueError("Cannot fit BM25 on an empty corpus.")
     df = F.col("df")
-    return (
-        terms.groupBy("term")
+    idf = (
+        corpus.select(F.explode(F.array_distinct(tokens)).alias("term"))
+        .groupBy("term")
         .agg(F.count("*").alias("df"))
         .withColumn("idf", F.log(1.0 + (n - df + 0.5) / (df + 0.5)))
     )
+    return Bm25Model(idf, n, stats["tokens"] / n, params or Bm25Params())
 
 
 def bm25_footprint(idf: DataFrame) -> DataFrame:
@@ -78,10 +82,10 @@ def bm25_footprint(idf: DataFrame) -> DataFrame:
     )
 
 
-def bm25_queries(queries: DataFrame, idf: DataFrame) -> DataFrame:
+def bm25_queries(queries: DataFrame, model: Bm25Model) -> DataFrame:
     """`(query_id, bm25_query)`; a repeated term carries its idf as often as it occurs."""
     terms = queries.select("query_id", F.explode(_counts(tx.space_tokens(F.col("query")))).alias("t"))
-    weighted = terms.select("query_id", "t.term", F.col("t.weight").alias("times")).join(idf, "term")
+    weighted = terms.select("query_id", "t.term", F.col("t.weight").alias("times")).join(model.idf, "term")
     return weighted.groupBy("query_id").agg(
         F.array_sort(F.collect_list(_entry(F.col("term"), F.col("times") * F.col("idf")))).alias(
             "bm25_query"
@@ -89,24 +93,20 @@ def bm25_queries(queries: DataFrame, idf: DataFrame) -> DataFrame:
     )
 
 
-def bm25_document(text: Column, mean_length: Column, params: Bm25Params | None = None) -> Column:
-    """Saturated term frequencies of one document: everything in BM25 but the idf."""
-    p = params or Bm25Params()
-    tokens = tx.space_tokens(text)
-    fade = p.k1 * (
-        1.0 - p.b + p.b * F.size(tokens) / F.when(mean_length > 0, mean_length).otherwise(1.0)
-    )
+def with_bm25_document(documents: DataFrame, model: Bm25Model) -> DataFrame:
+    """Adds `bm25_document`: saturated term frequencies, everything in BM25 but the idf."""
+    k1, b = model.params.k1, model.params.b
+    tokens = F.col("_tokens")
+    share = F.size(tokens) / F.lit(model.mean_length or 1.0)
     saturated = F.transform(
         _counts(tokens),
-        lambda e: F.struct(e["term"], e["weight"] * (p.k1 + 1.0) / (e["weight"] + fade)),
+        lambda e: F.struct(e["term"], e["weight"] * (k1 + 1.0) / (e["weight"] + F.col("_fade"))),
     )
-    return F.map_from_entries(saturated)
-
-
-def bm25_documents(documents: DataFrame, corpus: DataFrame, params: Bm25Params | None = None) -> DataFrame:
-    mean = bm25_stats(corpus).select("mean_length").scalar()
-    return documents.select(
-        "product_id", bm25_document(F.col("product_name"), mean, params).alias("bm25_document")
+    return (
+        documents.withColumn("_tokens", tx.space_tokens(F.col("product_name")))
+        .withColumn("_fade", k1 * (1.0 - b + b * share))
+        .withColumn("bm25_document", F.map_from_entries(saturated))
+        .drop("_tokens", "_fade")
     )
 
 
@@ -117,51 +117,49 @@ def bm25_score() -> Column:
 # TF-IDF -------------------------------------------------------------------------------
 
 
-def tfidf_vocabulary(
+def fit_tfidf(
     corpus: DataFrame, text: str = "product_name", params: TfidfParams | None = None
 ) -> DataFrame:
-    """`(term, df, corpus_count, idf)`: at most `max_features` word uni- and bigrams.
+    """The vocabulary `(term, df, corpus_count, idf)`: at most `max_features` word uni- and bigrams.
 
-    Over the limit, the terms with the largest corpus count stay; ties go to the smaller term.
+    Over the limit, the terms with the largest corpus count stay; ties go to the smaller term. The
+    table is written once, as queries and documents both read it.
     """
     p = params or TfidfParams()
+    n = corpus.count()
+    if n == 0:
+        raise ValueError("Cannot fit TF-IDF on an empty corpus.")
     grams = corpus.select(tx.word_grams(F.col(text)).alias("grams"))
-    n = corpus.agg(F.count("*").alias("n")).scalar()
     # A gram counts towards df only where it stands first in its text.
     terms = grams.select("grams", F.posexplode("grams").alias("at", "term")).select(
         "term", (F.array_position("grams", F.col("term")) == F.col("at") + 1).alias("first")
     )
-    vocabulary = (
+    counts = (
         terms.groupBy("term")
         .agg(F.count_if("first").alias("df"), F.count("*").alias("corpus_count"))
-        .filter((F.col("df") >= p.min_df) & (F.col("df") <= F.lit(p.max_df) * n))
+        .filter((F.col("df") >= p.min_df) & (F.col("df") <= p.max_df * n))
         .withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
     )
-    return _largest(vocabulary, p.max_features)
+    return _largest(materialize(counts, "tfidf-terms"), p.max_features)
 
 
-def _largest(vocabulary: DataFrame, limit: int) -> DataFrame:
+def _largest(terms: DataFrame, limit: int) -> DataFrame:
     """Exact cut at the limit, without collecting a limit's worth of rows from every partition.
 
     Terms are counted per corpus count. All terms above the threshold count stay; only the terms at
     the threshold are ordered, and only as many of them as there is room for.
     """
-    per_count = vocabulary.groupBy("corpus_count").agg(F.count("*").alias("terms"))
-    if per_count.agg(F.sum("terms").alias("n")).filter(F.col("n") > limit).isEmpty():
-        return vocabulary
-    order = [F.col("corpus_count").desc()]
-    with_group = per_count.withColumn("_all", F.lit(1))
-    summed = ranking.prefix_sum(with_group, ["_all"], order, "terms", "through")
-    cut = (
-        summed.filter(F.col("through") >= limit)
-        .agg(F.max("corpus_count").alias("c"))
-        .scalar()
-    )
-    above = vocabulary.filter(F.col("corpus_count") > cut)
+    if terms.count() <= limit:
+        return terms
+    per_count = terms.groupBy("corpus_count").agg(F.count("*").alias("terms"))
+    summed = ranking.prefix_sum(per_count, [], [F.col("corpus_count").desc()], "terms", "through")
+    cut = summed.filter(F.col("through") >= limit).agg(F.max("corpus_count")).first()[0]
+    above = terms.filter(F.col("corpus_count") > cut)
     room = limit - above.count()
-    ties = vocabulary.filter(F.col("corpus_count") == cut).withColumn("_all", F.lit(1))
-    ties = ranking.full_rank(ties, ["_all"], [F.col("term").asc()], "_r")
-    return above.unionByName(ties.filter(F.col("_r") <= room).drop("_all", "_r"))
+    ties = ranking.full_rank(
+        terms.filter(F.col("corpus_count") == cut), [], [F.col("term").asc()], "_r"
+    )
+    return materialize(above.unionByName(ties.filter(F.col("_r") <= room).drop("_r")), "tfidf-cut")
 
 
 def tfidf_weights(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
@@ -217,29 +215,21 @@ def score_pairs(pairs: DataFrame, queries: DataFrame, documents: DataFrame, colu
 
 
 def bm25_pairs(
-    pairs: DataFrame,
-    queries: DataFrame,
-    products: DataFrame,
-    corpus: DataFrame,
-    params: Bm25Params | None = None,
+    pairs: DataFrame, queries: DataFrame, products: DataFrame, model: Bm25Model
 ) -> DataFrame:
+    documents = with_bm25_document(products.select("product_id", "product_name"), model)
     return score_pairs(
         pairs,
-        bm25_queries(queries, bm25_idf(corpus)),
-        bm25_documents(products, corpus, params),
+        bm25_queries(queries, model),
+        documents.select("product_id", "bm25_document"),
         bm25_score(),
         "bm25_score",
     )
 
 
 def tfidf_pairs(
-    pairs: DataFrame,
-    queries: DataFrame,
-    products: DataFrame,
-    corpus: DataFrame,
-    params: TfidfParams | None = None,
+    pairs: DataFrame, queries: DataFrame, products: DataFrame, vocabulary: DataFrame
 ) -> DataFrame:
-    vocabulary = tfidf_vocabulary(corpus, params=params)
     return score_pairs(
         pairs,
         tfidf_queries(queries, vocabulary),

@@ -66,22 +66,14 @@ def score_candidates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     Texts come with the request, so weights are looked up per distinct query and product name.
     """
     rows = clean.request_products(candidates)
-    mean = lexical.bm25_stats(corpus).select("mean_length").scalar()
-    vocabulary = lexical.tfidf_vocabulary(corpus)
+    bm25, vocabulary = lexical.fit_bm25(corpus), lexical.fit_tfidf(corpus)
     asked = rows.select(F.col("query").alias("query_id"), "query").distinct()
-    query_side = (
-        features.query_profile(asked)
-        .join(lexical.bm25_queries(asked, lexical.bm25_idf(corpus)), "query_id", "left")
-        .join(lexical.tfidf_queries(asked, vocabulary), "query_id", "left")
-        .withColumnRenamed("query_id", "query")
-    )
+    query_side = scoring.query_side(asked, bm25, vocabulary).withColumnRenamed("query_id", "query")
     named = rows.select("product_name").distinct()
     weights = lexical.tfidf_weights(named, "product_name", "product_name", vocabulary).select(
         "product_name", F.map_from_entries("entries").alias("tfidf_document")
     )
-    weighted = rows.withColumn(
-        "bm25_document", lexical.bm25_document(F.col("product_name"), mean)
-    )
+    weighted = lexical.with_bm25_document(rows, bm25)
     kept = [c for c in ("request_id", "query", "top_k", "position", "product_name") if c in rows.columns]
     profile = features.product_profile(weighted, [*kept, "bm25_document"])
     joined = profile.join(query_side, "query", "left").join(weights, "product_name", "left")
@@ -206,7 +198,7 @@ def reuse(
     TTL length holds at most one stored answer per key, and that is a minimum, which is combined
     before the shuffle however many requests the slice has.
     """
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = log.select("request_id", "request_key", micros.alias("micros"))
     sizes = rows.groupBy("request_key").agg(F.count("*").alias("n"))
     hot = sizes.filter(F.col("n") > limit).select("request_key")
@@ -281,7 +273,8 @@ def latency_report(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Requests, failures, throughput, and the latency distribution of successful requests."""
     keys = keys or []
     ok = F.col("status") == 200
-    seconds = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    seconds = (F.max(at) - F.min(at)) / 1e6
     n = F.count("*")
     good = F.when(ok, F.col("latency_ms"))
     base = log.groupBy(*keys).agg(

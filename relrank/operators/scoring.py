@@ -39,23 +39,25 @@ class SearchTables:
     product_vectors: DataFrame | None = None
 
 
-def query_side(t: SearchTables, vocabulary: DataFrame) -> DataFrame:
+def query_side(queries: DataFrame, bm25: lexical.Bm25Model, vocabulary: DataFrame) -> DataFrame:
     """One row per query with its profile and both sparse vectors."""
     return (
-        features.query_profile(t.queries)
-        .join(lexical.bm25_queries(t.queries, lexical.bm25_idf(t.corpus)), "query_id", "left")
-        .join(lexical.tfidf_queries(t.queries, vocabulary), "query_id", "left")
+        features.query_profile(queries)
+        .join(lexical.bm25_queries(queries, bm25), "query_id", "left")
+        .join(lexical.tfidf_queries(queries, vocabulary), "query_id", "left")
     )
 
 
-def product_side(t: SearchTables, vocabulary: DataFrame, carried: list[str] | None = None) -> DataFrame:
+def product_side(
+    products: DataFrame,
+    bm25: lexical.Bm25Model,
+    vocabulary: DataFrame,
+    carried: list[str] | None = None,
+) -> DataFrame:
     """One row per product with its profile and both sparse vectors."""
-    mean = lexical.bm25_stats(t.corpus).select("mean_length").scalar()
-    weighted = t.products.withColumn(
-        "bm25_document", lexical.bm25_document(F.col("product_name"), mean)
-    )
+    weighted = lexical.with_bm25_document(products, bm25)
     profile = features.product_profile(weighted, ["bm25_document", *(carried or [])])
-    return profile.join(lexical.tfidf_documents(t.products, vocabulary), "product_id", "left")
+    return profile.join(lexical.tfidf_documents(products, vocabulary), "product_id", "left")
 
 
 def scored_pairs(
@@ -67,11 +69,11 @@ def scored_pairs(
 
     `carried` names product columns to keep on the pair.
     """
-    vocabulary = lexical.tfidf_vocabulary(t.corpus)
+    bm25, vocabulary = lexical.fit_bm25(t.corpus), lexical.fit_tfidf(t.corpus)
     pairs = t.judgments
     keep = [*pairs.columns, *(carried or [])]
-    joined = pairs.join(query_side(t, vocabulary), "query_id", "left").join(
-        product_side(t, vocabulary, carried), "product_id", "left"
+    joined = pairs.join(query_side(t.queries, bm25, vocabulary), "query_id", "left").join(
+        product_side(t.products, bm25, vocabulary, carried), "product_id", "left"
     )
     scored = joined.select(
         *keep,

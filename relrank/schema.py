@@ -50,25 +50,53 @@ MODEL_FEATURES = [f for f in ALL_FEATURES if not f.endswith("_embedding_norm")]
 RAW_CATEGORY = "category hierarchy"
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
-QUERY_SCHEMA = _struct("query_id long, query string, query_class string")
-PRODUCT_SCHEMA = _struct(
-    "product_id long, product_name string, product_class string, `category hierarchy` string, "
-    "product_description string, product_features string, "
-    "rating_count double, average_rating double, review_count double"
+_LONG, _TEXT, _DOUBLE, _INT = T.LongType(), T.StringType(), T.DoubleType(), T.IntegerType()
+
+QUERY_SCHEMA = _struct(query_id=_LONG, query=_TEXT, query_class=_TEXT)
+PRODUCT_SCHEMA = T.StructType(
+    [
+        T.StructField("product_id", _LONG),
+        T.StructField("product_name", _TEXT),
+        T.StructField("product_class", _TEXT),
+        T.StructField(RAW_CATEGORY, _TEXT),
+        T.StructField("product_description", _TEXT),
+        T.StructField("product_features", _TEXT),
+        T.StructField("rating_count", _DOUBLE),
+        T.StructField("average_rating", _DOUBLE),
+        T.StructField("review_count", _DOUBLE),
+    ]
 )
-LABEL_SCHEMA = _struct("id long, query_id long, product_id long, label string")
-RANKING_SCHEMA = _struct("query_id long, product_id long, score double, rank int")
+LABEL_SCHEMA = _struct(id=_LONG, query_id=_LONG, product_id=_LONG, label=_TEXT)
+RANKING_SCHEMA = _struct(query_id=_LONG, product_id=_LONG, score=_DOUBLE, rank=_INT)
 REQUEST_SCHEMA = _struct(
-    "request_id string, query string, top_k int, products array<struct<"
-    "product_id: long, product_name: string, product_class: string, category_hierarchy: string, "
-    "product_description: string, product_features: string, "
-    "rating_count: double, average_rating: double, review_count: double>>"
+    request_id=_TEXT,
+    query=_TEXT,
+    top_k=_INT,
+    products=T.ArrayType(
+        _struct(
+            product_id=_LONG,
+            product_name=_TEXT,
+            product_class=_TEXT,
+            category_hierarchy=_TEXT,
+            product_description=_TEXT,
+            product_features=_TEXT,
+            rating_count=_DOUBLE,
+            average_rating=_DOUBLE,
+            review_count=_DOUBLE,
+        )
+    ),
 )
 AUDIT_SCHEMA = _struct(
-    "request_id string, query string, candidate_count int, top_k int, model_name string, "
-    "model_alias string, latency_ms double, created_at timestamp"
+    request_id=_TEXT,
+    query=_TEXT,
+    candidate_count=_INT,
+    top_k=_INT,
+    model_name=_TEXT,
+    model_alias=_TEXT,
+    latency_ms=_DOUBLE,
+    created_at=T.TimestampType(),
 )
