@@ -26,23 +26,25 @@ def _first_delimiter(path: Column, delimiters: list[str], then, otherwise: Colum
 
 
 def depth(c: Column) -> Column:
-    path = tx.strip(tx.text(c))
+    def levels(path: Column) -> Column:
+        def parts(d: str) -> Column:
+            return F.size(F.filter(tx.split_on(path, d), lambda p: ~tx.is_blank(p))).cast("double")
 
-    def parts(d: str) -> Column:
-        return F.size(F.filter(tx.split_on(path, d), lambda p: ~tx.is_blank(p))).cast("double")
+        counted = _first_delimiter(path, DEPTH_DELIMITERS, parts, F.lit(1.0))
+        return F.when(path == "", F.lit(0.0)).otherwise(counted)
 
-    levels = _first_delimiter(path, DEPTH_DELIMITERS, parts, F.lit(1.0))
-    return F.when(path == "", F.lit(0.0)).otherwise(levels)
+    return tx.bind(tx.strip(tx.text(c)), levels)
 
 
 def top_level(c: Column) -> Column:
-    path = tx.strip(tx.text(c))
+    def head_of(path: Column) -> Column:
+        def head(d: str) -> Column:
+            return tx.strip(F.element_at(tx.split_on(path, d), 1))
 
-    def head(d: str) -> Column:
-        return tx.strip(F.element_at(tx.split_on(path, d), 1))
+        return _first_delimiter(path, TOP_LEVEL_DELIMITERS, head, path)
 
-    name = _first_delimiter(path, TOP_LEVEL_DELIMITERS, head, path)
-    return F.when(name == "", F.lit(UNKNOWN)).otherwise(name)
+    name = tx.bind(tx.strip(tx.text(c)), head_of)
+    return F.coalesce(F.nullif(name, F.lit("")), F.lit(UNKNOWN))
 
 
 def primary(c: Column) -> Column:

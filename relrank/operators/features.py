@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from relrank import schema as S
 from relrank.functions import category
 from relrank.functions import text as tx
-from relrank.functions.numeric import finite_or_zero
+from relrank.functions.numeric import finite_or_zero, ratio
+from relrank.session import materialize
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ def query_profile(queries: DataFrame) -> DataFrame:
         "query_id",
         "q_fold",
         tx.word_set(F.col("q_fold")).alias("q_words"),
-        tx.char_gram_set(F.col("q_fold")).alias("q_grams"),
+        tx.trigram_set(F.col("q_fold")).alias("q_grams"),
     )
 
 
@@ -56,7 +57,7 @@ def product_profile(products: DataFrame, carried: list[str] | None = None) -> Da
     columns = {
         "p_fold": folded,
         "p_words": tx.word_set(folded),
-        "p_grams": tx.char_gram_set(folded),
+        "p_grams": tx.trigram_set(folded),
         "path_words": tx.word_set(path),
         "class_words": tx.word_set(_optional(products, "product_class", empty)),
         "title_length": title_length(F.col("product_name")),
@@ -78,28 +79,37 @@ def title_length(c: Column) -> Column:
 def feature_count(c: Column) -> Column:
     """Lines if there are several, words otherwise."""
     lines = F.size(tx.line_items(c))
-    return F.when(lines > 1, lines).otherwise(F.size(tx.words(c))).cast("double")
+    items = tx.bind(lines, lambda n: F.when(n > 1, n))
+    return F.coalesce(items, F.size(tx.words(c))).cast("double")
 
 
 def _flag(condition: Column) -> Column:
     return condition.cast("double")
 
 
+def intersections() -> dict[str, Column]:
+    """Sizes of the set intersections, as columns of their own: several features use one."""
+    q = F.col("q_words")
+    return {
+        "shared_words": tx.shared(q, F.col("p_words")),
+        "shared_grams": tx.shared(F.col("q_grams"), F.col("p_grams")),
+        "shared_path": tx.shared(q, F.col("path_words")),
+    }
+
+
 def comparison_columns() -> dict[str, Column]:
     """Features that compare the two profiles of a pair."""
     q, p = F.col("q_fold"), F.col("p_fold")
     qw, pw = F.col("q_words"), F.col("p_words")
     both = (q != "") & (p != "")
     short = (F.length(q) < 3) | (F.length(p) < 3)
-    path_share = F.size(F.array_intersect(qw, F.col("path_words"))) / F.nullif(F.size(qw), F.lit(0))
+    grams = tx.jaccard(F.col("q_grams"), F.col("p_grams"), F.col("shared_grams"))
     return {
         "exact_match": _flag(both & (q == p)),
-        "token_overlap": tx.jaccard(qw, pw),
-        "character_overlap": F.when(~both, F.lit(0.0))
-        .when(short, _flag(q == p))
-        .otherwise(tx.jaccard(F.col("q_grams"), F.col("p_grams"))),
-        "query_title_overlap": F.size(F.array_intersect(qw, pw)).cast("double"),
-        "category_match": F.coalesce(path_share, F.lit(0.0)),
+        "token_overlap": tx.jaccard(qw, pw, F.col("shared_words")),
+        "character_overlap": F.when(~both, F.lit(0.0)).when(short, _flag(q == p)).otherwise(grams),
+        "query_title_overlap": F.col("shared_words").cast("double"),
+        "category_match": ratio(F.col("shared_path"), F.size(qw)),
         "product_class_match": _flag(F.arrays_overlap(qw, F.col("class_words"))),
         "phrase_match": _flag(both & p.contains(q)),
     }
@@ -133,8 +143,10 @@ def feature_matrix(
             raise ValueError(f"Missing required columns: {missing}")
     names = (groups or FeatureGroups()).columns()
     carried = [c for c in pairs.columns if c not in names]
-    joined = pairs.join(query_profile(queries), "query_id", "left").join(
-        product_profile(products), "product_id", "left"
+    joined = (
+        pairs.join(product_profile(products), "product_id", "left")
+        .join(materialize(query_profile(queries), "query-profile"), "query_id", "left")
+        .withColumns(intersections())
     )
     return joined.select(*carried, *feature_columns(joined.columns, groups))
 

@@ -37,14 +37,6 @@ def _entry(term: Column, weight: Column) -> Column:
     return F.struct(term.alias("term"), weight.alias("weight"))
 
 
-def _counts(terms: Column) -> Column:
-    """Distinct terms of one text with their counts; meant for titles and queries."""
-    return F.transform(
-        F.array_distinct(terms),
-        lambda t: _entry(t, F.size(F.filter(terms, lambda x: x == t)).cast("double")),
-    )
-
-
 # BM25 ---------------------------------------------------------------------------------
 
 
@@ -84,7 +76,7 @@ def bm25_footprint(idf: DataFrame) -> DataFrame:
 
 def bm25_queries(queries: DataFrame, model: Bm25Model) -> DataFrame:
     """`(query_id, bm25_query)`; a repeated term carries its idf as often as it occurs."""
-    terms = queries.select("query_id", F.explode(_counts(tx.space_tokens(F.col("query")))).alias("t"))
+    terms = queries.select("query_id", F.explode(tx.counts(tx.space_tokens(F.col("query")))).alias("t"))
     weighted = terms.select("query_id", "t.term", F.col("t.weight").alias("times")).join(model.idf, "term")
     return weighted.groupBy("query_id").agg(
         F.array_sort(F.collect_list(_entry(F.col("term"), F.col("times") * F.col("idf")))).alias(
@@ -99,7 +91,7 @@ def with_bm25_document(documents: DataFrame, model: Bm25Model) -> DataFrame:
     tokens = F.col("_tokens")
     share = F.size(tokens) / F.lit(model.mean_length or 1.0)
     saturated = F.transform(
-        _counts(tokens),
+        tx.counts(tokens),
         lambda e: F.struct(e["term"], e["weight"] * (k1 + 1.0) / (e["weight"] + F.col("_fade"))),
     )
     return (
@@ -164,7 +156,7 @@ def _largest(terms: DataFrame, limit: int) -> DataFrame:
 
 def tfidf_weights(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """`(key, entries)`: L2-normalized weights of the in-vocabulary grams of each text."""
-    grams = texts.select(key, F.explode(_counts(tx.word_grams(F.col(text)))).alias("t"))
+    grams = texts.select(key, F.explode(tx.counts(tx.word_grams(F.col(text)))).alias("t"))
     # The vocabulary is cut to max_features rows, which bounds what is broadcast.
     weighted = grams.select(key, "t.term", F.col("t.weight").alias("n")).join(
         F.broadcast(vocabulary.select("term", "idf")), "term"
@@ -204,12 +196,18 @@ def tfidf_score() -> Column:
 # Pairs --------------------------------------------------------------------------------
 
 
-def score_pairs(pairs: DataFrame, queries: DataFrame, documents: DataFrame, column: Column, out: str) -> DataFrame:
-    """Scores of (query, product) pairs from the two weight tables; zero where either has none."""
+def score_pairs(
+    pairs: DataFrame, queries: DataFrame, documents: DataFrame, column: Column, out: str
+) -> DataFrame:
+    """Scores of (query, product) pairs from the two weight tables; zero where either has none.
+
+    Products come first: that join shuffles bare ids. The query table is the smaller one, and written
+    out its size is known, so that Spark broadcasts it if it is small and shuffles it if it is not.
+    """
     carried = [F.col(c) for c in pairs.columns]
     return (
-        pairs.join(queries, "query_id", "left")
-        .join(documents, "product_id", "left")
+        pairs.join(documents, "product_id", "left")
+        .join(materialize(queries, "query-terms"), "query_id", "left")
         .select(*carried, column.alias(out))
     )
 

@@ -77,7 +77,7 @@ def score_candidates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     kept = [c for c in ("request_id", "query", "top_k", "position", "product_name") if c in rows.columns]
     profile = features.product_profile(weighted, [*kept, "bm25_document"])
     joined = profile.join(query_side, "query", "left").join(weights, "product_name", "left")
-    scored = joined.withColumns(
+    scored = joined.withColumns(features.intersections()).withColumns(
         {"bm25_score": lexical.bm25_score(), "tfidf_similarity": lexical.tfidf_score()}
     )
     columns = dict(zip(features.FeatureGroups().columns(), features.feature_columns(scored.columns)))

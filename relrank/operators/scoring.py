@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from relrank.functions.numeric import score
 from relrank.operators import features, lexical, semantic
+from relrank.session import materialize
 
 # --- fixed values: weights of the linear blend that stands in for a learned model ---
 BLEND = {
@@ -65,29 +66,27 @@ def scored_pairs(
     groups: features.FeatureGroups | None = None,
     carried: list[str] | None = None,
 ) -> DataFrame:
-    """Judgment columns and all features; two joins over the pairs, plus one per vector table.
+    """Judgment columns and all features, with two joins over the pairs.
 
+    Products come first: that join shuffles bare ids. The query side is the smaller one, and written out
+    its size is known, so that Spark broadcasts it if it is small and shuffles it if it is not.
     `carried` names product columns to keep on the pair.
     """
     bm25, vocabulary = lexical.fit_bm25(t.corpus), lexical.fit_tfidf(t.corpus)
-    pairs = t.judgments
-    keep = [*pairs.columns, *(carried or [])]
-    joined = pairs.join(query_side(t.queries, bm25, vocabulary), "query_id", "left").join(
-        product_side(t.products, bm25, vocabulary, carried), "product_id", "left"
+    keep = [*t.judgments.columns, *(carried or [])]
+    queries = query_side(t.queries, bm25, vocabulary)
+    products = product_side(t.products, bm25, vocabulary, carried)
+    with_vectors = t.query_vectors is not None and t.product_vectors is not None
+    if with_vectors:
+        queries = queries.join(semantic.with_norm(t.query_vectors, "query_id", "query"), "query_id", "left")
+        products = products.join(
+            semantic.with_norm(t.product_vectors, "product_id", "product"), "product_id", "left"
+        )
+    joined = t.judgments.join(products, "product_id", "left").join(
+        materialize(queries, "query-side"), "query_id", "left"
     )
-    scored = joined.select(
-        *keep,
-        lexical.bm25_score().alias("bm25_score"),
-        lexical.tfidf_score().alias("tfidf_similarity"),
-        *[
-            c
-            for name, c in zip(
-                (groups or features.FeatureGroups()).columns(),
-                features.feature_columns(joined.columns, groups),
-            )
-            if name not in ("bm25_score", "tfidf_similarity", *features.S.SEMANTIC_FEATURES)
-        ],
-    )
-    if t.query_vectors is not None and t.product_vectors is not None:
-        return semantic.attach_similarity(scored, t.query_vectors, t.product_vectors)
-    return scored.withColumns({c: F.lit(0.0) for c in features.S.SEMANTIC_FEATURES})
+    scores = {"bm25_score": lexical.bm25_score(), "tfidf_similarity": lexical.tfidf_score()}
+    if with_vectors:
+        scores["semantic_similarity"] = semantic.similarity()
+    joined = joined.withColumns({**features.intersections(), **scores})
+    return joined.select(*keep, *features.feature_columns(joined.columns, groups))

@@ -8,51 +8,46 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relrank.functions import text as tx
 from relrank.functions import vectors as V
 from relrank.functions.numeric import score
+from relrank.session import materialize
 
 
 def with_norm(vectors: DataFrame, key: str, prefix: str) -> DataFrame:
-    """`(key, <prefix>_vector, <prefix>_embedding_norm)`: the norm is taken once per vector."""
-    return vectors.select(
-        key,
-        F.col("vector").alias(f"{prefix}_vector"),
-        V.norm(F.col("vector")).alias(f"{prefix}_embedding_norm"),
+    """`(key, <prefix>_vector, <prefix>_embedding_norm)`: cast and norm once per vector, not per pair."""
+    name = f"{prefix}_vector"
+    return vectors.select(key, F.col("vector").cast("array<double>").alias(name)).withColumn(
+        f"{prefix}_embedding_norm", V.norm(F.col(name))
     )
 
 
-def attach_similarity(pairs: DataFrame, queries: DataFrame, products: DataFrame) -> DataFrame:
-    """Adds `semantic_similarity` and both norms to pairs.
-
-    A pair without a query vector or a product vector, and a pair of different dimensions, stop the job.
-    """
-    carried = [F.col(c) for c in pairs.columns]
-    joined = pairs.join(with_norm(queries, "query_id", "query"), "query_id", "left").join(
-        with_norm(products, "product_id", "product"), "product_id", "left"
-    )
+def similarity() -> Column:
+    """Cosine of a joined pair row. A missing vector and differing dimensions stop the job."""
     q, p = F.col("query_vector"), F.col("product_vector")
-    cosine = score(
-        V.cosine(q, p, F.col("query_embedding_norm"), F.col("product_embedding_norm"))
-    )
-    similarity = (
+    cosine = V.cosine(q, p, F.col("query_embedding_norm"), F.col("product_embedding_norm"))
+    return (
         F.when(q.isNull(), F.raise_error(F.lit("A query has no vector.")).cast("double"))
         .when(p.isNull(), F.raise_error(F.lit("A candidate has no vector.")).cast("double"))
         .when(
             F.size(q) != F.size(p),
             F.raise_error(F.lit("Query and product vectors differ in dimension.")).cast("double"),
         )
-        .otherwise(cosine)
+        .otherwise(score(cosine))
+        .alias("semantic_similarity")
     )
-    return joined.select(
-        *carried,
-        similarity.alias("semantic_similarity"),
-        "query_embedding_norm",
-        "product_embedding_norm",
+
+
+def attach_similarity(pairs: DataFrame, queries: DataFrame, products: DataFrame) -> DataFrame:
+    """Adds `semantic_similarity` and both norms to pairs."""
+    carried = [F.col(c) for c in pairs.columns]
+    joined = pairs.join(with_norm(products, "product_id", "product"), "product_id", "left").join(
+        materialize(with_norm(queries, "query_id", "query"), "query-vectors"), "query_id", "left"
     )
+    return joined.select(*carried, similarity(), "query_embedding_norm", "product_embedding_norm")
 
 
 def similarity_stats(pairs: DataFrame) -> DataFrame:

@@ -16,6 +16,15 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan with fewer splits than the session has cores, hashed over the cores.
+
+    Text work per row follows, and a small file would keep it in one task. Larger scans stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def _size(df: DataFrame) -> Column:
     """Row count of a table as a scalar subquery."""
     return df.agg(F.count("*").alias("n")).scalar()
@@ -37,7 +46,7 @@ def raw_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def raw_products(spark: SparkSession, path: str) -> DataFrame:
-    part = table(spark, path, "part")
+    part = spread(table(spark, path, "part"), "p_partkey")
     documents = table(spark, path, "documents")
     sales = (
         table(spark, path, "lineitem")
@@ -116,7 +125,7 @@ def _vectors(spark, path, name, key: Column, position: Column, out: str) -> Data
         table(spark, path, name)
         .select(key.alias(out), (position % _size(embeddings)).alias("vec_id"))
         .join(embeddings, "vec_id")
-        .select(out, F.col("embedding").cast("array<double>").alias("vector"))
+        .select(out, F.col("embedding").alias("vector"))
     )
 
 
