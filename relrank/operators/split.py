@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from relrank import schema as S
+from relrank.session import materialize
 
 HASH_PREFIX = 3  # hex digits: 4,096 hash buckets
 
@@ -40,10 +41,11 @@ def assign_queries(ids: DataFrame, sizes: SplitSizes | None = None) -> DataFrame
     """`(query_id, split)` with exact split sizes, in a seeded hash order.
 
     Positions in the hash order are found without a global sort: ids are counted per hash prefix
-    (4,096 rows), and numbered inside their prefix.
+    (4,096 rows), and numbered inside their prefix. The ids are written first, as they are read for
+    the counts, the total and the numbering.
     """
     sizes = sizes or SplitSizes()
-    hashed = ids.select(
+    hashed = materialize(ids.select("query_id"), "query-ids").select(
         "query_id",
         F.md5(F.concat_ws("|", F.lit(str(sizes.seed)), F.col("query_id").cast("string"))).alias("h"),
     ).withColumn("prefix", F.substring("h", 1, HASH_PREFIX))
@@ -142,7 +144,10 @@ def split_checks(judgments: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
 
 
-def split_products(products: DataFrame, judgments: DataFrame, split: str = "train") -> DataFrame:
+def split_products(
+    products: DataFrame, judgments: DataFrame, assignment: DataFrame, split: str = "train"
+) -> DataFrame:
     """Products that occur in one split's judgments."""
-    used = judgments.filter(F.col("split") == split).select("product_id").distinct()
+    ids = assignment.filter(F.col("split") == split).select("query_id")
+    used = judgments.join(ids, "query_id", "left_semi").select("product_id").distinct()
     return products.join(used, "product_id", "left_semi")

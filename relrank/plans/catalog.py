@@ -73,7 +73,7 @@ class Inputs:
     @cached_property
     def assignment(self) -> DataFrame:
         # Judgments only say which queries exist; the raw labels name the same ones.
-        return split.assign_queries(split.query_ids(self.raw_labels))
+        return materialize(split.assign_queries(split.query_ids(self.raw_labels)), "assignment")
 
     @cached_property
     def judged(self) -> DataFrame:
@@ -82,9 +82,8 @@ class Inputs:
     @cached_property
     def corpus(self) -> DataFrame:
         # Products of train pairs; repeated annotations of a pair change nothing here.
-        labels = self.raw_labels.select("query_id", "product_id")
         products = self.products.select("product_id", "product_name")
-        used = split.split_products(products, split.assign_split(labels, self.assignment))
+        used = split.split_products(products, self.raw_labels, self.assignment)
         return materialize(used, "corpus")
 
     @cached_property
