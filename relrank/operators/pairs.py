@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,21 +25,32 @@ def build_pairs(judgments: DataFrame, queries: DataFrame, products: DataFrame) -
 
 
 def input_checks(judgments: DataFrame, queries: DataFrame, products: DataFrame) -> DataFrame:
-    """Rows a retrieval run cannot score: unknown query, unknown product, product without a name."""
-    unknown_query = judgments.join(queries.select("query_id"), "query_id", "left_anti").agg(
-        F.count("*").alias("violations")
+    """Rows a retrieval run cannot score: unknown query, unknown product, product without a name.
+
+    Rows are counted per key before the joins, so that a frequent key is one row in them.
+    """
+    per_query = judgments.groupBy("query_id").agg(F.count("*").alias("n"))
+    unknown_query = per_query.join(queries.select("query_id"), "query_id", "left_anti").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("violations")
     )
-    named = judgments.select("product_id").join(
-        products.select("product_id", "product_name", F.lit(True).alias("known")),
-        "product_id",
-        "left",
+    per_product = judgments.groupBy("product_id").agg(F.count("*").alias("n"))
+    known = products.select(
+        "product_id", F.col("product_name").isNotNull().alias("named"), F.lit(True).alias("known")
     )
-    counts = named.agg(
-        F.count_if(F.col("known").isNull()).alias("unknown"),
-        F.count_if(F.col("known") & F.col("product_name").isNull()).alias("unnamed"),
-    ).select(
-        F.expr(
-            "stack(2, 'candidate_known', unknown, 'candidate_named', unnamed) as (check, violations)"
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    counts = (
+        per_product.join(known, "product_id", "left")
+        .agg(
+            total(F.col("known").isNull()).alias("unknown"),
+            total(F.col("known") & ~F.col("named")).alias("unnamed"),
+        )
+        .select(
+            F.expr(
+                "stack(2, 'candidate_known', unknown, 'candidate_named', unnamed) as (check, violations)"
+            )
         )
     )
     rows = unknown_query.select(F.lit("query_known").alias("check"), "violations").unionByName(counts)

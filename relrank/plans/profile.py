@@ -137,14 +137,16 @@ def judgments_profile(labels: DataFrame) -> DataFrame:
 
 
 def reference_rows(labels: DataFrame, queries: DataFrame, products: DataFrame) -> DataFrame:
-    """Judgment rows that name an unknown product or query."""
+    """Judgment rows that name an unknown product or query; counted per key before the join."""
     out = []
     for metric, parent, key in (
         ("unknown_product_references", products, "product_id"),
         ("unknown_query_references", queries, "query_id"),
     ):
-        missing = labels.select(key).join(parent.select(key), key, "left_anti")
-        out.append(missing.agg(F.count("*").alias("row_count")).select(F.lit(metric).alias("metric"), "row_count"))
+        counts = labels.groupBy(key).agg(F.count("*").alias("n"))
+        missing = counts.join(parent.select(key), key, "left_anti")
+        rows = missing.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"))
+        out.append(rows.select(F.lit(metric).alias("metric"), "row_count"))
     return out[0].unionByName(out[1])
 
 
