@@ -370,7 +370,6 @@ def metric_sql(ranked: str, family: str, ks: list[int], depth_: int, keys: list[
     """Per-group metrics as a SELECT; `ranked` has keys, rank and relevance_score."""
     key = ", ".join(keys)
     fixed = 10 if family == "retrieved" or len(ks) > 1 else ks[0]
-    deepest = max([*ks, fixed])
     k_list = f"(select {key}, rank, relevance_score as g from {ranked} where rank <= {depth_})"
     truth_total = f"(select query_id, count(*) filter (relevance_score > 0) as total from {truth} group by query_id)"
     columns = []
@@ -407,7 +406,6 @@ def metric_sql(ranked: str, family: str, ks: list[int], depth_: int, keys: list[
     else:
         total, ap = "t.total", f"least(t.total, {fixed})"
         source = f"({base}) a join {truth_total} t on t.query_id = a.query_id"
-    del deepest
     columns = [c.replace("total", total) for c in columns]
     named = ", ".join(f"a.{c} as {c}" for c in keys)
     return (
