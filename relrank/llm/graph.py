@@ -13,6 +13,21 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Ties every node a and its smaller neighbours b to the smallest of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    tied = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    return edges.join(least, "a").select(F.explode(tied)).select("col.a", "col.b").where("a <> b").distinct()
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Ties every node's larger neighbours to the smallest node among it and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    tied = both.where("b > a").join(least, "a")
+    return tied.select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): for every node with an edge, the smallest node that can be reached from it.
 
@@ -20,22 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
     is written out, so a lost executor costs one round at most.
     """
     tidy = edges.where("a is not null and b is not null and a <> b")
-    current = materialize(
-        tidy.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
+    tidy = tidy.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    current = materialize(_small_star(tidy), "edges")
     before = _state(current)
     while before[0]:
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = (
-            both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-            .where("a <> b").distinct()
-        )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(
-            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        ).select("col.a", "col.b").where("a <> b").distinct()
-        current = materialize(small, "edges")
+        current = materialize(_small_star(_large_star(current)), "edges")
         after = _state(current)
         if after == before:
             break

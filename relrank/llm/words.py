@@ -42,6 +42,11 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
