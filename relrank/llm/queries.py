@@ -1,12 +1,13 @@
-"""Queries of the operators over one folder of test tables, and their SQL."""
+"""Queries of the operators over one folder of test tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from relrank.llm import jaccard
+from relrank.llm import jaccard, mixing, packing, passages, toxicity
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -17,6 +18,34 @@ def op2_ngram_jaccard(spark: SparkSession, path: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, path, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    docs = _table(spark, path, "documents")
+    model = toxicity.fit(docs, _table(spark, path, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    predicted = (F.col("toxicity") >= toxicity.THRESHOLD).cast("int")
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted")
+    )
+
+
+def op4_mixing(spark: SparkSession, path: str) -> DataFrame:
+    """Every document at least once, no source more than twice as often as another."""
+    drawn = mixing.mix(_table(spark, path, "documents"), mixing.Target(max_repeats=2.0))
+    return drawn.select("doc_id", "source", "mix_block", "mix_order")
+
+
+def op7_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
+    return packing.pack(_table(spark, path, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return passages.duplicate_passages(_table(spark, path, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_toxicity": op3_toxicity,
+    "op4_mixing": op4_mixing,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
