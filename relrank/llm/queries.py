@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.llm import jaccard, mixing, packing, passages, toxicity
+from relrank.llm import html, jaccard, mixing, packing, passages, quality, toxicity
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, path: str) -> DataFrame:
+    found = html.main_text(_table(spark, path, "pages"))
+    text = F.col("main_text")
+    return found.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, path: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, path, "documents"))
 
@@ -34,6 +40,12 @@ def op4_mixing(spark: SparkSession, path: str) -> DataFrame:
     return drawn.select("doc_id", "source", "mix_block", "mix_order")
 
 
+def op6_quality_rules(spark: SparkSession, path: str) -> DataFrame:
+    docs = _table(spark, path, "documents")
+    trees = quality.fit(docs, _table(spark, path, "labels"))
+    return quality.judge(docs.select("doc_id", "text"), trees).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op7_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(_table(spark, path, "documents"))
 
@@ -43,9 +55,11 @@ def op9_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_substring_dedup": op9_substring_dedup,
 }
