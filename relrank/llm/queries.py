@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.llm import html, jaccard, mixing, packing, passages, quality, toxicity
+from relrank.llm import embeddings, html, idfile, jaccard, mixing, packing, passages, quality, toxicity, trie
+from relrank.session import scratch_path
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -40,6 +41,13 @@ def op4_mixing(spark: SparkSession, path: str) -> DataFrame:
     return drawn.select("doc_id", "source", "mix_block", "mix_order")
 
 
+def op5_binary_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Writes the token-id table below the shared folder and reads it back."""
+    table = scratch_path(spark, "token_ids")
+    idfile.write_ids(_table(spark, path, "documents"), table)
+    return idfile.document_index(spark, table)
+
+
 def op6_quality_rules(spark: SparkSession, path: str) -> DataFrame:
     docs = _table(spark, path, "documents")
     trees = quality.fit(docs, _table(spark, path, "labels"))
@@ -50,16 +58,27 @@ def op7_best_fit_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(_table(spark, path, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, path: str) -> DataFrame:
+    return trie.token_counts(_table(spark, path, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
 def op9_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
     return passages.duplicate_passages(_table(spark, path, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, path, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_binary_ids": op5_binary_ids,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
