@@ -178,11 +178,3 @@ def feature_checks(matrix: DataFrame, features: list[str]) -> DataFrame:
         )
     )
     return rows.withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))
-
-
-def model_features(matrix: DataFrame, names: list[str]) -> DataFrame:
-    """Features in training order; a missing one is an error."""
-    missing = [c for c in names if c not in matrix.columns]
-    if missing:
-        raise ValueError(f"Missing feature columns: {missing}")
-    return matrix.select(*names)

@@ -25,6 +25,12 @@ class Bm25Params:
     k1: float = 1.5
     b: float = 0.75
 
+    def __post_init__(self) -> None:
+        if self.k1 < 0:
+            raise ValueError(f"k1 must be 0 or more, not {self.k1}.")
+        if not 0 <= self.b <= 1:
+            raise ValueError(f"b must lie between 0 and 1, not {self.b}.")
+
 
 @dataclass(frozen=True)
 class TfidfParams:
@@ -121,14 +127,12 @@ def fit_tfidf(
     n = corpus.count()
     if n == 0:
         raise ValueError("Cannot fit TF-IDF on an empty corpus.")
-    grams = corpus.select(tx.word_grams(F.col(text)).alias("grams"))
-    # A gram counts towards df only where it stands first in its text.
-    terms = grams.select("grams", F.posexplode("grams").alias("at", "term")).select(
-        "term", (F.array_position("grams", F.col("term")) == F.col("at") + 1).alias("first")
-    )
+    grams = corpus.select(F.monotonically_increasing_id().alias("text_id"), tx.word_grams(F.col(text)).alias("grams"))
+    per_text = grams.select("text_id", F.explode("grams").alias("term")).groupBy("text_id", "term")
     counts = (
-        terms.groupBy("term")
-        .agg(F.count_if("first").alias("df"), F.count("*").alias("corpus_count"))
+        per_text.agg(F.count("*").alias("n"))
+        .groupBy("term")
+        .agg(F.count("*").alias("df"), F.sum("n").alias("corpus_count"))
         .filter((F.col("df") >= p.min_df) & (F.col("df") <= p.max_df * n))
         .withColumn("idf", F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)
     )
@@ -157,9 +161,9 @@ def _largest(terms: DataFrame, limit: int) -> DataFrame:
 def tfidf_weights(texts: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
     """`(key, entries)`: L2-normalized weights of the in-vocabulary grams of each text."""
     grams = texts.select(key, F.explode(tx.counts(tx.word_grams(F.col(text)))).alias("t"))
-    # The vocabulary is cut to max_features rows, which bounds what is broadcast.
+    # The vocabulary is a written table of known size: Spark broadcasts it if it is small.
     weighted = grams.select(key, "t.term", F.col("t.weight").alias("n")).join(
-        F.broadcast(vocabulary.select("term", "idf")), "term"
+        vocabulary.select("term", "idf"), "term"
     )
     weighted = weighted.select(
         key, "term", ((1.0 + F.log("n")) * F.col("idf")).alias("weight")

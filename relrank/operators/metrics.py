@@ -150,7 +150,3 @@ def require_overlap(ranked: DataFrame, truth: DataFrame, key: str = "query_id")
     if kept.isEmpty():
         raise ValueError("Rankings and ground truth share no query.")
     return kept
-
-
-def ndcg_column(per_group: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return per_group.select(*keys, F.col("ndcg_at_10").alias(name))

@@ -7,34 +7,22 @@ from pyspark.sql import functions as F
 
 from relrank.operators import ranking
 
-MANY_VALUES = 1_000_000
-
 
 def quantiles(
     values: DataFrame,
     keys: list[str],
     points: dict[str, float],
     value: str = "value",
-    few_values: bool = False,
-    limit: int = MANY_VALUES,
 ) -> DataFrame:
     """One row per group with a column per point (a fraction between 0 and 1).
 
-    Values are counted first. Spark's `percentile` then keeps one entry per distinct value; where a
-    group may have more than `limit` of them, positions come from a distributed running count. Pass
-    `few_values` for values that are few by nature, such as word counts.
+    Values are counted first; positions come from a distributed running count of the distinct values.
     """
     counts = (
         values.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(F.count("*").alias("n"))
     )
-    if few_values or not ranking.has_hot_group(counts, keys, limit):
-        found = F.percentile("v", F.array(*[F.lit(p) for p in points.values()]), F.col("n"))
-        rows = counts.groupBy(*keys).agg(found.alias("q"))
-        return rows.select(
-            *keys, *[F.col("q")[i].alias(name) for i, name in enumerate(points)]
-        )
     running = ranking.prefix_sum(counts, keys, [F.col("v").asc()], "n", "through")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     placed = running.join(totals, keys) if keys else running.withColumn(
@@ -61,9 +49,7 @@ def quantiles(
     )
 
 
-def describe(
-    values: DataFrame, keys: list[str], value: str = "value", few_values: bool = False
-) -> DataFrame:
+def describe(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """count, mean, std, min, quartiles and max per group."""
     v = F.col(value).cast("double")
     moments = values.groupBy(*keys).agg(
@@ -73,9 +59,7 @@ def describe(
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     )
-    quartiles = quantiles(
-        values, keys, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, value, few_values
-    )
+    quartiles = quantiles(values, keys, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, value)
     rounded = quartiles.select(*keys, *[F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")])
     return moments.join(rounded, keys, "left")
 

@@ -3,9 +3,8 @@
 `top_k` relies on Spark's group limit before the shuffle: every input partition keeps at most k rows
 of a group, so a group of any size arrives at its reducer as k rows per partition.
 
-`full_rank` needs all positions. Groups up to `HOT_ROWS` rows are ranked by a window; if a larger one
-exists, the rows are range-sorted instead, and positions are the row number inside a range plus the
-number of rows in the ranges before it.
+`full_rank` needs all positions. Rows are range-sorted by group and order, and positions are the row number
+inside a range plus the number of rows in the ranges before it, so a group of any size spreads over ranges.
 """
 
 from __future__ import annotations
@@ -16,8 +15,6 @@ from pyspark.sql import Window as W
 
 from relrank.session import cut_lineage
 
-HOT_ROWS = 2_000_000
-
 
 def id_order(column: str = "product_id", mode: str = "numeric") -> Column:
     """Tie-break on the id: `numeric` (9 before 10) or `string` (10 before 9)."""
@@ -38,12 +35,6 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def has_hot_group(df: DataFrame, keys: list[str], limit: int = HOT_ROWS) -> bool:
-    """True if some group exceeds the limit; counts are combined before the shuffle."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return not counts.filter(F.col("n") > limit).isEmpty()
-
-
 def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], weight: str, out: str) -> DataFrame:
     """Exact running sum of `weight` per group in the given order, for groups of any size.
 
@@ -69,31 +60,14 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], weight: str,
     )
 
 
-def full_rank(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    rank: str = "rank",
-    sizes: DataFrame | None = None,
-    limit: int = HOT_ROWS,
-) -> DataFrame:
-    """Every row's position. `sizes` may name a cheaper table with the same group sizes."""
-    return full_ranks(df, keys, {rank: order}, sizes=sizes, limit=limit)
-
-
-def full_ranks(
-    df: DataFrame,
-    keys: list[str],
-    orders: dict[str, list[Column]],
-    sizes: DataFrame | None = None,
-    limit: int = HOT_ROWS,
-) -> DataFrame:
-    """Several rankings of the same groups side by side: one exchange, one sort per ranking."""
-    if has_hot_group(df if sizes is None else sizes, keys, limit):
-        out = df.withColumn("_one", F.lit(1))
-        for rank, order in orders.items():
-            out = prefix_sum(out, keys, order, "_one", rank).withColumn(rank, F.col(rank).cast("int"))
-        return out.drop("_one")
-    return df.withColumns(
-        {rank: F.row_number().over(W.partitionBy(*keys).orderBy(*order)) for rank, order in orders.items()}
-    )
+def full_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """Every row's position in its group (long). The order must be total within a group."""
+    return full_ranks(df, keys, {rank: order})
+
+
+def full_ranks(df: DataFrame, keys: list[str], orders: dict[str, list[Column]]) -> DataFrame:
+    """Several rankings of the same groups side by side."""
+    out = df.withColumn("_one", F.lit(1).cast("long"))
+    for rank, order in orders.items():
+        out = prefix_sum(out, keys, order, "_one", rank)
+    return out.drop("_one")

@@ -8,6 +8,7 @@ only ranked results are nested again.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,14 @@ from pyspark.sql import functions as F
 
 from relrank import schema as S
 from relrank.functions import text as tx
-from relrank.functions.numeric import percent
-from relrank.operators import clean, features, lexical, percentiles, ranking, scoring
-from relrank.session import cut_lineage
+from relrank.functions.numeric import percent, score
+from relrank.functions import vectors as V
+from relrank.operators import clean, features, fingerprint, lexical, percentiles, ranking, scoring, semantic
+from relrank.session import materialize
 
 # --- fixed values -----------------------------------------------------------------
 MODEL_NAME = "relrank"
 MODEL_ALIAS = "champion"
-TOP_K = 10
 TTL_SECONDS = 300
 # ----------------------------------------------------------------------------------
 
@@ -51,22 +52,61 @@ def _reasons(sizes: DataFrame) -> DataFrame:
     return sizes.select("request_id", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
-def rejects(headers: DataFrame, candidates: DataFrame, top_k: int = TOP_K) -> DataFrame:
+def _limit(rows: DataFrame, top_k: int | None):
+    """How many results a row's request gets: what the call says, else the request's own top_k, else null for all."""
+    if top_k is not None:
+        return F.lit(top_k)
+    return F.col("top_k") if "top_k" in rows.columns else F.lit(None).cast("int")
+
+
+def rejects(headers: DataFrame, candidates: DataFrame, top_k: int | None = None) -> DataFrame:
     """Requests that cannot be ranked, with the first reason that applies."""
     sizes = candidates.groupBy("request_id").agg(F.count("*").alias("n"))
     joined = headers.join(sizes, "request_id", "left").select(
-        "request_id", "query", F.lit(top_k).alias("top_k"), F.coalesce("n", F.lit(0)).alias("n")
+        "request_id", "query", _limit(headers, top_k).alias("top_k"), F.coalesce("n", F.lit(0)).alias("n")
     )
     return _reasons(joined)
 
 
-def score_candidates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
-    """The inference features of every candidate, fitted on `corpus`.
+@dataclass(frozen=True)
+class RequestModels:
+    """What scoring needs, fitted once: corpus statistics, vocabulary, and vectors by query_id and product_id."""
+
+    bm25: lexical.Bm25Model
+    vocabulary: DataFrame
+    query_vectors: DataFrame | None = None
+    product_vectors: DataFrame | None = None
+
+
+def fit_models(
+    corpus: DataFrame, query_vectors: DataFrame | None = None, product_vectors: DataFrame | None = None
+) -> RequestModels:
+    bm25 = lexical.fit_bm25(corpus)
+    written = lexical.Bm25Model(materialize(bm25.idf, "request-idf"), bm25.n_documents, bm25.mean_length, bm25.params)
+    return RequestModels(written, lexical.fit_tfidf(corpus), query_vectors, product_vectors)
+
+
+def _with_similarity(rows: DataFrame, models: RequestModels) -> DataFrame:
+    """Adds semantic_similarity: 0 without vector tables, and for a query or product that has no vector."""
+    if models.query_vectors is None or models.product_vectors is None:
+        return rows.withColumn("semantic_similarity", F.lit(0.0))
+    joined = rows.join(semantic.with_norm(models.product_vectors, "product_id", "product"), "product_id", "left").join(
+        semantic.with_norm(models.query_vectors, "query_id", "query"), "query_id", "left"
+    )
+    q, p = F.col("query_vector"), F.col("product_vector")
+    cosine = V.cosine(q, p, F.col("query_embedding_norm"), F.col("product_embedding_norm"))
+    known = q.isNotNull() & p.isNotNull()
+    added = ("query_vector", "product_vector", "query_embedding_norm", "product_embedding_norm")
+    return joined.withColumn("semantic_similarity", F.when(known, score(cosine)).otherwise(0.0)).drop(*added)
+
+
+def score_candidates(candidates: DataFrame, models: RequestModels) -> DataFrame:
+    """The inference features of every candidate.
 
     Texts come with the request, so weights are looked up per distinct query and product name.
     """
-    rows = clean.request_products(candidates)
-    bm25, vocabulary = lexical.fit_bm25(corpus), lexical.fit_tfidf(corpus)
+    rows = _with_similarity(clean.request_products(candidates), models)
+    bm25, vocabulary = models.bm25, models.vocabulary
     asked = rows.select(F.col("query").alias("query_id"), "query").distinct()
     query_side = scoring.query_side(asked, bm25, vocabulary).withColumnRenamed("query_id", "query")
     named = rows.select("product_name").distinct()
@@ -75,7 +115,7 @@ def score_candidates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     )
     weighted = lexical.with_bm25_document(rows, bm25)
     kept = [c for c in ("request_id", "query", "top_k", "position", "product_name") if c in rows.columns]
-    profile = features.product_profile(weighted, [*kept, "bm25_document"])
+    profile = features.product_profile(weighted, [*kept, "bm25_document", "semantic_similarity"])
     joined = profile.join(query_side, "query", "left").join(weights, "product_name", "left")
     scored = joined.withColumns(features.intersections()).withColumns(
         {"bm25_score": lexical.bm25_score(), "tfidf_similarity": lexical.tfidf_score()}
@@ -90,17 +130,18 @@ def blend_scorer(matrix: DataFrame) -> DataFrame:
 
 def rank_requests(
     candidates: DataFrame,
-    corpus: DataFrame,
-    top_k: int = TOP_K,
+    models: RequestModels,
+    top_k: int | None = None,
     scorer: Callable[[DataFrame], DataFrame] = blend_scorer,
 ) -> DataFrame:
     """`(request_id, query, product_id, product_name, score, rank)`; ties go to the smaller id.
 
+    A request gets `top_k` results, without that as many as its own column top_k says, else all.
     `scorer` adds a `score` column to the feature matrix, for instance a fitted model's transform. A
     score that is not finite stops the job. Rows with a blank query are left to `rejects`.
     """
     usable = candidates.filter(~tx.is_blank(F.col("query")))
-    scored = scorer(score_candidates(usable, corpus))
+    scored = scorer(score_candidates(usable, models))
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     checked = scored.withColumn(
         "score",
@@ -111,7 +152,11 @@ def rank_requests(
     order = ranking.by_score()
     if "position" in checked.columns:
         order = [*order, F.col("position").asc()]
-    ranked = ranking.top_k(checked, ["request_id"], order, top_k)
+    if top_k is not None:
+        ranked = ranking.top_k(checked, ["request_id"], order, top_k)
+    else:
+        limit = _limit(checked, None)
+        ranked = ranking.full_rank(checked, ["request_id"], order).filter(limit.isNull() | (F.col("rank") <= limit))
     return ranked.select("request_id", "query", "product_id", "product_name", "score", "rank")
 
 
@@ -126,7 +171,7 @@ def nest_responses(ranked: DataFrame) -> DataFrame:
 def content_keys(
     headers: DataFrame,
     candidates: DataFrame,
-    top_k: int = TOP_K,
+    top_k: int | None = None,
     model: str = MODEL_NAME,
     alias: str = MODEL_ALIAS,
 ) -> DataFrame:
@@ -136,24 +181,14 @@ def content_keys(
     the shuffle, and of fixed size for a request of any length.
     """
     fields = [c for c in S.PRODUCT_COLUMNS if c in candidates.columns]
-    content = F.sha2(
-        F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in fields]), 256
-    )
-    hashed = candidates.select("request_id", content.alias("h"))
-
-    def part(start: int):
-        return F.sum(F.conv(F.substring("h", start, 12), 16, 10).cast("decimal(20,0)"))
-
-    sums = hashed.groupBy("request_id").agg(
-        F.count("*").alias("n"), part(1).alias("a"), part(13).alias("b")
-    )
+    hashed = candidates.select("request_id", F.sha2(fingerprint.encoded(candidates, fields), 256).alias("h"))
+    sums = hashed.groupBy("request_id").agg(F.count("*").alias("n"), fingerprint.lanes("h", 64).alias("content"))
     payload = F.concat_ws(
         "|",
-        F.col("query"),
-        F.lit(str(top_k)),
+        _limit(headers, top_k).cast("string"),
         F.coalesce(F.col("n"), F.lit(0)).cast("string"),
-        F.coalesce(F.col("a").cast("decimal(38,0)"), F.lit(0)).cast("string"),
-        F.coalesce(F.col("b").cast("decimal(38,0)"), F.lit(0)).cast("string"),
+        F.coalesce(F.col("content"), F.lit("")),
+        F.coalesce(F.col("query"), F.lit("")),
     )
     return headers.join(sums, "request_id", "left").select(
         "request_id",
@@ -187,29 +222,14 @@ def _walk(ttl: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFram
     return run
 
 
-def reuse(
-    log: DataFrame, ttl: float = TTL_SECONDS, limit: int = ranking.HOT_ROWS
-) -> DataFrame:
+def reuse(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
     """`(request_id, reused)`: whether an equal request was answered and stored within the TTL.
 
     A reused answer is not stored again, so the TTL runs from the last stored one: the decision
-    depends on earlier decisions of the same key. Keys of ordinary size are walked in order, with
-    constant memory. Keys above `limit` requests are advanced slice by slice instead: one slice of
-    TTL length holds at most one stored answer per key, and that is a minimum, which is combined
-    before the shuffle however many requests the slice has.
+    depends on earlier decisions of the same key. Keys are walked in time order, with constant memory.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = log.select("request_id", "request_key", micros.alias("micros"))
-    sizes = rows.groupBy("request_key").agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > limit).select("request_key")
-    if hot.isEmpty():
-        return _reuse_walked(rows, ttl)
-    walked = _reuse_walked(rows.join(hot, "request_key", "left_anti"), ttl)
-    sliced = _reuse_sliced(rows.join(hot, "request_key", "left_semi"), ttl)
-    return walked.unionByName(sliced)
-
-
-def _reuse_walked(rows: DataFrame, ttl: float) -> DataFrame:
     id_type = rows.schema["request_id"].dataType.simpleString()
     ordered = rows.repartition("request_key").sortWithinPartitions(
         "request_key", "micros", "request_id"
@@ -217,36 +237,13 @@ def _reuse_walked(rows: DataFrame, ttl: float) -> DataFrame:
     return ordered.mapInPandas(_walk(ttl), f"request_id {id_type}, reused boolean")
 
 
-def _reuse_sliced(rows: DataFrame, ttl: float) -> DataFrame:
-    step = int(ttl * 1_000_000)
-    sliced = rows.withColumn("slice", F.expr(f"micros div {step}"))
-    ends = sliced.agg(F.min("slice").alias("a"), F.max("slice").alias("b")).first()
-    stored = None
-    for number in range(ends["a"], ends["b"] + 1):
-        here = sliced.filter(F.col("slice") == number)
-        if stored is not None:
-            last = stored.groupBy("request_key").agg(F.max("micros").alias("last"))
-            here = here.join(last, "request_key", "left").filter(
-                F.col("last").isNull() | (F.col("micros") >= F.col("last") + step)
-            )
-        first = here.groupBy("request_key").agg(
-            F.min(F.struct("micros", "request_id")).alias("first")
-        )
-        new = first.select("request_key", "first.micros", "first.request_id")
-        stored = cut_lineage(new if stored is None else stored.unionByName(new))
-    marks = stored.select("request_id", F.lit(True).alias("stored"))
-    return rows.join(marks, "request_id", "left").select(
-        "request_id", F.col("stored").isNull().alias("reused")
-    )
-
-
 # Audit and log reports ----------------------------------------------------------------
 
 
 def audit_rows(
     headers: DataFrame,
     candidates: DataFrame,
-    top_k: int = TOP_K,
+    top_k: int | None = None,
     model: str = MODEL_NAME,
     alias: str = MODEL_ALIAS,
 ) -> DataFrame:
@@ -258,7 +255,7 @@ def audit_rows(
         "request_id": F.col("request_id"),
         "query": F.col("query"),
         "candidate_count": F.col("n"),
-        "top_k": F.least(F.col("n"), F.lit(top_k)),
+        "top_k": F.least(F.col("n"), _limit(headers, top_k)),
         "model_name": F.lit(model),
         "model_alias": F.lit(alias),
         "latency_ms": F.col("latency_ms") if "latency_ms" in headers.columns else F.lit(None),

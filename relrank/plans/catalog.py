@@ -133,6 +133,10 @@ class Inputs:
         rows = views.request_candidates(self.spark, self.path)
         return rows.join(self.headers, "request_id")
 
+    @cached_property
+    def request_models(self) -> requests.RequestModels:
+        return requests.fit_models(self.corpus, self.query_vectors, self.product_vectors)
+
     @cached_property
     def log(self) -> DataFrame:
         return views.service_log(self.spark, self.path)
@@ -458,8 +462,7 @@ def bm25_scores(i: Inputs) -> DataFrame:
 def bm25_ranks(i: Inputs) -> DataFrame:
     rows = _bm25(i).withColumnRenamed("bm25_score", "score")
     return ranking.full_rank(
-        rows, ["query_id"], ranking.by_score(tie="string"), sizes=i.raw_labels.select("query_id")
-    )
+        rows, ["query_id"], ranking.by_score(tie="string"))
 
 
 @query
@@ -657,7 +660,7 @@ def compare_semantic(i: Inputs) -> DataFrame:
 
 
 def _ranks(i: Inputs) -> DataFrame:
-    return report.model_ranks(i.scored, MODELS.names, i.raw_labels.select("query_id"))
+    return report.model_ranks(i.scored, MODELS.names)
 
 
 def _query_report(i: Inputs) -> DataFrame:
@@ -838,21 +841,26 @@ def compact_report(i: Inputs) -> DataFrame:
 
 @query
 def rank_requests(i: Inputs) -> DataFrame:
-    return _round(requests.rank_requests(i.candidates, i.corpus), 6, ["score"])
+    return _round(requests.rank_requests(i.candidates, i.request_models), 6, ["score"])
 
 
 @query
 def request_features(i: Inputs) -> DataFrame:
-    rows = requests.score_candidates(i.candidates, i.corpus)
+    rows = requests.score_candidates(i.candidates, i.request_models)
     mean = [F.round(F.avg(c), 5).alias(c) for c in S.MODEL_FEATURES]
     return rows.groupBy("query").agg(F.count("*").alias("candidates"), *mean)
 
 
 @query
 def ranking_responses(i: Inputs) -> DataFrame:
-    nested = requests.nest_responses(requests.rank_requests(i.candidates, i.corpus))
-    ids = F.array_join(F.transform("results", lambda r: r["product_id"].cast("string")), ",")
-    return nested.select("request_id", "query", ids.alias("product_ids"))
+    nested = requests.nest_responses(requests.rank_requests(i.candidates, i.request_models))
+
+    def text(r):
+        return F.concat_ws("=", r["product_id"].cast("string"), r["product_name"])
+
+    scores = F.round(F.aggregate("results", F.lit(0.0), lambda total, r: total + r["score"]), 5)
+    results = F.array_join(F.transform("results", text), ",")
+    return nested.select("request_id", "query", results.alias("results"), scores.alias("score_sum"))
 
 
 @query
@@ -929,26 +937,28 @@ def _stream_of(i: Inputs, df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 @query
 def stream_signals(i: Inputs) -> DataFrame:
-    """Windows as a stream; the last ones stay open until the watermark passes them."""
+    """Windows as a stream. The log is not in time order, so no row counts as late."""
     stream, folder = _stream_of(i, i.log, "signals")
-    out = signals.windowed_signals(stream)
-    signals.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
-    return i.spark.read.schema(out.schema).parquet(f"{folder}/out")
+    out = signals.windowed_signals(stream, lateness="36500 days")
+    signals.run_updates(out, f"{folder}/out", f"{folder}/checkpoint")
+    return signals.latest(i.spark.read.parquet(f"{folder}/out"), ["window_start"])
 
 
 @query
 def stream_reuse(i: Inputs) -> DataFrame:
     stream, folder = _stream_of(i, i.log, "reuse")
-    out = signals.first_requests(stream, f"{DAY} seconds")
+    out = signals.stream_reuse(stream, DAY)
     signals.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
     return i.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
 @query
 def stream_rank(i: Inputs) -> DataFrame:
-    stream, folder = _stream_of(i, i.candidates, "rank")
+    fields = ["position", *S.PRODUCT_COLUMNS]
+    products = i.candidates.groupBy("request_id").agg(F.collect_list(F.struct(*fields)).alias("products"))
+    stream, folder = _stream_of(i, i.headers.join(products, "request_id"), "rank")
     stream_ranking.rank_stream(
-        stream, i.corpus, f"{folder}/ranked", f"{folder}/audit", f"{folder}/checkpoint"
+        stream, i.request_models, f"{folder}/ranked", f"{folder}/audit", f"{folder}/checkpoint"
     )
     ranked = i.spark.read.parquet(f"{folder}/ranked").drop("batch")
     return _round(ranked, 6, ["score"])
@@ -957,11 +967,16 @@ def stream_rank(i: Inputs) -> DataFrame:
 # Reproducibility ----------------------------------------------------------------------
 
 
+JUDGMENT_COLUMNS = [
+    "query_id", "product_id", "label", "annotation_count", "original_labels", "resolution_method", "relevance_score"
+]
+
+
 def _prints(i: Inputs) -> dict[str, tuple[DataFrame, list[str]]]:
     return {
         "queries": (i.queries, S.QUERY_COLUMNS),
-        "products": (i.products, S.PRODUCT_COLUMNS[:6]),
-        "judgments": (i.resolved, ["query_id", "product_id", "label", "annotation_count"]),
+        "products": (i.products, S.PRODUCT_COLUMNS),
+        "judgments": (i.resolved, JUDGMENT_COLUMNS),
         "split": (i.judged, ["query_id", "product_id", "relevance_score", "split"]),
     }
 
@@ -1012,28 +1027,28 @@ def _learning_frames(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     return train, validation, test
 
 
-LTR = learning.LtrParams(rounds=5, patience=3)
+LTR = learning.LtrParams(rounds=20, patience=5)
 
 
 @query
 def ltr_lambdamart(i: Inputs) -> DataFrame:
     train, validation, test = _learning_frames(i)
     model = learning.fit_lambdamart(train, validation, LTR)
-    return learning.rank_scored(model.transform(test), sizes=test.select("query_id"))
+    return learning.rank_scored(model.transform(test))
 
 
 @query
 def ltr_pointwise(i: Inputs) -> DataFrame:
     train, validation, test = _learning_frames(i)
     model = learning.fit_pointwise(train, validation, rounds=5)
-    return learning.rank_scored(model.transform(test), sizes=test.select("query_id"))
+    return learning.rank_scored(model.transform(test))
 
 
 @query
 def multiclass_rank(i: Inputs) -> DataFrame:
     train, _, test = _learning_frames(i)
     model = learning.fit_multiclass(train, trees=20)
-    return learning.rank_scored(model.transform(test), sizes=test.select("query_id"))
+    return learning.rank_scored(model.transform(test))
 
 
 @query
@@ -1049,6 +1064,15 @@ def param_search(i: Inputs) -> DataFrame:
     return trials
 
 
+@query
+def ranker_search(i: Inputs) -> DataFrame:
+    """LambdaMART settings by NDCG@10 of the validation queries."""
+    train, validation, _ = _learning_frames(i)
+    settings = [learning.LtrParams(rounds=5, max_depth=d, learning_rate=0.1) for d in (3, 5)]
+    trials, _ = learning.search_lambdamart(train, validation, settings)
+    return trials
+
+
 @query
 def training_report(i: Inputs) -> DataFrame:
     train, validation, test = _learning_frames(i)

@@ -327,11 +327,11 @@ CTE["model_ranked"] = "select *, " + ", ".join(
 ) + " from scored"
 
 CTE["requests"] = """
-select o_orderkey as request_id, o_orderdate as ts, query from orders
+select o_orderkey as request_id, o_orderdate as ts, query_id, query from orders
 left join raw_queries on query_id = o_custkey % (select count(*) from supplier)"""
 
 CTE["candidates"] = """
-select l_orderkey as request_id, ts, query, l_linenumber as position, p.* from lineitem
+select l_orderkey as request_id, ts, query_id, query, l_linenumber as position, p.* from lineitem
 join requests on request_id = l_orderkey left join raw_products p on product_id = l_partkey"""
 
 CTE["log"] = """
@@ -476,8 +476,8 @@ from long_scores"""
 
 CTE["failures"] = """
 select case when blend_rank <= 10 then 'irrelevant_in_top10' else 'relevant_below_top10' end as failure_type,
-  query_id, query, product_id, relevance_score, blend_rank::int as blend_rank, blend_score,
-  bm25_rank::int as bm25_rank, tfidf_rank::int as tfidf_rank
+  query_id, query, product_id, relevance_score, blend_rank, blend_score,
+  bm25_rank, tfidf_rank
 from model_ranked join queries using (query_id)
 where (blend_rank <= 10 and relevance_score = 0) or (blend_rank > 10 and relevance_score > 0)"""
 
@@ -709,7 +709,10 @@ CTE["asked_side"] = CTE["query_side"].replace("query_id", "query").replace("from
 CTE["request_matrix"] = (
     "select c.request_id, c.query, c.product_id, c.position, raw.product_name, b.bm25_score, t.tfidf_similarity, "
     + ", ".join(f"{COMPARED.get(n, 'p.' + n)} as {n}" for n in [*COMPARED, *PASSED])
-    + ", 0.0::double as semantic_similarity from candidates c join asked_side q on q.query = c.query "
+    + ", case when qv.v is null or pv.v is null then 0.0::double else round(case when sqrt(list_inner_product(qv.v, qv.v)) * sqrt(list_inner_product(pv.v, pv.v)) = 0 then 0 "
+    "else list_inner_product(qv.v, pv.v) / (sqrt(list_inner_product(qv.v, qv.v)) * sqrt(list_inner_product(pv.v, pv.v))) end, 9) end as semantic_similarity "
+    "from candidates c join asked_side q on q.query = c.query "
+    "left join query_vectors qv on qv.query_id = c.query_id left join product_vectors pv on pv.product_id = c.product_id "
     "join raw_product_side p on p.product_id = c.product_id join raw_products raw on raw.product_id = c.product_id "
     "join asked_bm25 b on b.query = c.query and b.product_id = c.product_id "
     "join asked_cosine t on t.query = c.query and t.product_id = c.product_id"
@@ -718,28 +721,38 @@ CTE["ranked_requests"] = """
 select request_id, query, product_id, product_name, score, rank from (
   select *, row_number() over (partition by request_id order by score desc, product_id, position) as rank from (
     select *, round(0.1::double * bm25_score + tfidf_similarity + token_overlap + semantic_similarity, 9) as score
-    from request_matrix)) where rank <= 10"""
+    from request_matrix))"""
 
-CTE["request_content"] = "select request_id, sha256(concat_ws('|', " + ", ".join(
-    f"coalesce({c}::varchar, '<null>')" for c in S.PRODUCT_COLUMNS
-) + ")) as h from candidates"
+FRACTIONS = ("rating_count", "average_rating", "review_count")
 
 
-def row_hash(columns: list[str]) -> str:
-    return "md5(concat_ws('|', " + ", ".join(f"coalesce({c}::varchar, '<null>')" for c in columns) + "))"
+def encoded(columns: list[str]) -> str:
+    """Each value after its length, nulls as n; fractions to nine decimals."""
+    texts = [f"round({c}, 9)::decimal(38,9)::varchar" if c in FRACTIONS else f"{c}::varchar" for c in columns]
+    return " || ".join(f"coalesce(length({t}) || ':' || {t}, 'n')" for t in texts)
+
+
+def lanes(digest: str, digits: int) -> str:
+    """Sums of the eight-digit parts of a hex digest."""
+    return " || ':' || ".join(
+        f"coalesce(sum(('0x' || substr({digest}, {i + 1}, 8))::bigint), 0)::varchar" for i in range(0, digits, 8)
+    )
+
+
+CTE["request_content"] = f"select request_id, sha256({encoded(S.PRODUCT_COLUMNS)}) as h from candidates"
 
 
 def print_row(name: str, table: str, columns: list[str]) -> str:
     return (
-        f"select '{name}' as name, count(*) as row_count, coalesce(sum(('0x' || substr({row_hash(columns)}, 1, 12))"
-        f"::bigint), 0)::varchar as content from {table}"
+        f"select '{name}' as name, count(*) as row_count, {lanes('h', 32)} as content "
+        f"from (select md5({encoded(columns)}) as h from {table})"
     )
 
 
 PRINTS = {
     "queries": ("queries", S.QUERY_COLUMNS),
-    "products": ("products", S.PRODUCT_COLUMNS[:6]),
-    "judgments": ("resolved", ["query_id", "product_id", "label", "annotation_count"]),
+    "products": ("products", S.PRODUCT_COLUMNS),
+    "judgments": ("resolved", ["query_id", "product_id", "label", "annotation_count", "original_labels", "resolution_method", "relevance_score"]),
     "split": ("judged", ["query_id", "product_id", "relevance_score", "split"]),
 }
 CTE["prints"] = " union all ".join(print_row(n, t, c) for n, (t, c) in PRINTS.items())
@@ -883,7 +896,7 @@ def _bodies() -> dict[str, str]:
     q["bm25_footprint"] = """select count(*) as vocabulary_size,
       (sum(octet_length(encode(term)) + 8) + 16 * count(*))::bigint as estimated_bytes from idf"""
     q["bm25_scores"] = "select * from bm25"
-    q["bm25_ranks"] = "select query_id, product_id, score, rank::int as rank from bm25_ranked"
+    q["bm25_ranks"] = "select query_id, product_id, score, rank from bm25_ranked"
     q["bm25_topk"] = bm25_top
     q["tfidf_vocab"] = "select term, df, corpus_count, round(idf, 9) as idf from vocab"
     q["tfidf_vocab_cut"] = """select term, df, corpus_count, round(idf, 9) as idf from vocab
@@ -933,7 +946,7 @@ def _bodies() -> dict[str, str]:
     q["compare_semantic"] = compare_sql(["bm25", "semantic"], "list", [10], 10)
     # error analysis
     q["model_ranks"] = "select query_id, product_id, " + ", ".join(
-        f"{m}_rank::int as {m}_rank" for m in MODELS
+        f"{m}_rank" for m in MODELS
     ) + " from model_ranked"
     q["query_report"] = rounded_report("per_query_report", REPORT_COLUMNS)
     q["success_cases"] = rounded_report(
@@ -1022,24 +1035,25 @@ def _bodies() -> dict[str, str]:
       group by all order by count desc, category limit 20"""
     q["compact_report"] = f"select name, round(value, 6) as value from ({COMPACT})"
     # requests and logs
-    q["rank_requests"] = "select * replace (round(score, 6) as score, rank::int as rank) from ranked_requests"
+    q["rank_requests"] = "select * replace (round(score, 6) as score) from ranked_requests"
     q["stream_rank"] = q["rank_requests"]
     q["request_features"] = "select query, count(*) as candidates, " + ", ".join(
         f"round(avg({c}), 5) as {c}" for c in S.MODEL_FEATURES
     ) + " from request_matrix group by query"
-    q["ranking_responses"] = """select request_id, query, string_agg(product_id::varchar, ',' order by rank) as product_ids
+    q["ranking_responses"] = """select request_id, query, string_agg(concat_ws('=', product_id::varchar, product_name), ',' order by rank) as results,
+      round(sum(score), 5) as score_sum
       from ranked_requests group by request_id, query"""
     q["request_rejects"] = f"""select request_id, case when {blank('query')} then 'empty_query' else 'no_products' end as reason
       from requests where {blank('query')} or request_id not in (select request_id from candidates)"""
-    q["request_keys"] = """select request_id, 'ranking:relrank:champion:' || sha256(concat_ws('|', query, '10',
-      coalesce(n, 0)::varchar, coalesce(a, 0)::varchar, coalesce(b, 0)::varchar)) as content_key
-      from requests left join (select request_id, count(*) as n, sum(('0x' || substr(h, 1, 12))::bigint) as a,
-        sum(('0x' || substr(h, 13, 12))::bigint) as b from request_content group by request_id) using (request_id)"""
+    q["request_keys"] = """select request_id, 'ranking:relrank:champion:' || sha256(concat_ws('|',
+      coalesce(n, 0)::varchar, coalesce(content, ''), coalesce(query, ''))) as content_key
+      from requests left join (select request_id, count(*) as n, """ + lanes("h", 64) + """ as content
+      from request_content group by request_id) using (request_id)"""
     q["request_reuse"] = """select request_id, s.first_id is distinct from request_id as reused from log l left join (
       select c.request_key, c.ts, min(k.request_id) as first_id from chain c join log k on k.request_key = c.request_key
         and k.ts = c.ts group by all) s on s.request_key = l.request_key and s.ts = l.ts"""
     q["request_audit"] = """select request_id::varchar as request_id, query, n::int as candidate_count,
-      least(n, 10)::int as top_k, 'relrank' as model_name, 'champion' as model_alias, null::double as latency_ms,
+      n::int as top_k, 'relrank' as model_name, 'champion' as model_alias, null::double as latency_ms,
       ts as created_at from requests join (select request_id, count(*) as n from candidates group by request_id)
       using (request_id) where not (""" + blank("query") + ")"
     q["saved_audit"] = """select query, count(distinct request_id) as requests, count(*) as candidates from candidates
@@ -1053,6 +1067,8 @@ def _bodies() -> dict[str, str]:
       count(*) filter (status <> 200) as failures,
       round(count(*) filter (status <> 200)::double / count(*), 6) as error_rate,
       round(avg(latency_ms), 6) as mean_ms, max(latency_ms) as max_ms from log group by window_start"""
+    q["stream_signals"] = q["windowed_signals"]
+    q["stream_reuse"] = q["request_reuse"]
     q["request_shape"] = f"""select time_bucket(interval 7 days, ts, timestamp '1970-01-01')::timestamp as window_start,
       len({tokens('query')})::int as query_length, count(*) as requests, round(avg(n), 6) as mean_candidates,
       min(n) as min_candidates, max(n) as max_candidates from (select ts, query, coalesce(n, 0) as n from requests

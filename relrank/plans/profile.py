@@ -66,7 +66,7 @@ def text_lengths(queries: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def text_profile(queries: DataFrame, products: DataFrame) -> DataFrame:
-    return percentiles.describe(text_lengths(queries, products), ["metric"], few_values=True)
+    return percentiles.describe(text_lengths(queries, products), ["metric"])
 
 
 def ratings(products: DataFrame) -> DataFrame:

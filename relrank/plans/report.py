@@ -96,10 +96,10 @@ def list_ndcg(scored: DataFrame, models: tuple[str, ...], keys: list[str]) -> Da
     )
 
 
-def model_ranks(scored: DataFrame, models: tuple[str, ...], sizes: DataFrame | None = None) -> DataFrame:
+def model_ranks(scored: DataFrame, models: tuple[str, ...]) -> DataFrame:
     """Every model's full rank of every pair; ties go to the smaller id."""
     orders = {f"{m}_rank": ranking.by_score(f"{m}_score") for m in models}
-    return ranking.full_ranks(scored, ["query_id"], orders, sizes=sizes)
+    return ranking.full_ranks(scored, ["query_id"], orders)
 
 
 def query_report(scored: DataFrame, queries: DataFrame, models: Models | None = None) -> DataFrame:

@@ -29,13 +29,16 @@ def build_session(app: str = "relrank", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a temporary one only if it names none."""
+    """The folder the cluster names for checkpoints. A local session that names none gets a temporary one; executors
+    on other machines would not see it, so any other master has to name one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
     local = tempfile.mkdtemp(prefix="relrank-")
     spark.sparkContext.setCheckpointDir(local)
     return local

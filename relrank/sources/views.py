@@ -17,12 +17,8 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A scan with fewer splits than the session has cores, hashed over the cores.
-
-    Text work per row follows, and a small file would keep it in one task. Larger scans stay as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """Rows hashed over tasks: text work per row follows, and a file's splits may hold very unequal numbers of rows."""
+    return df.repartition(key)
 
 
 def _size(df: DataFrame) -> Column:
@@ -141,7 +137,7 @@ def request_headers(spark: SparkSession, path: str) -> DataFrame:
             (F.col("o_custkey") % _size(suppliers)).alias("query_id"),
         )
         .join(queries, "query_id", "left")
-        .select("request_id", "ts", "query")
+        .select("request_id", "ts", "query_id", "query")
     )
 
 

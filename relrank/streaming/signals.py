@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +64,31 @@ def request_shape(requests: DataFrame, width: str = "1 day", lateness: str = "1
     )
 
 
-def first_requests(log: DataFrame, ttl: str = "300 seconds") -> DataFrame:
-    """Stream of requests that are not repeats of an equal one within the TTL.
+def stream_reuse(log: DataFrame, ttl: float) -> DataFrame:
+    """`(request_id, reused)` for a stream of requests, by the rule of the batch `reuse`.
 
-    Expiry follows event time through the watermark, so a repeat may be dropped somewhat later than
-    the TTL; the batch `reuse` is exact.
+    The state of a key is the time of its last stored answer. Rows of a micro-batch are taken in time order, in any
+    order of arrival; a later micro-batch must not hold older requests of a key, as is so for a log that is read in
+    the order of writing.
     """
-    return log.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["request_key"])
+    id_type = log.schema["request_id"].dataType.simpleString()
+    rows = log.select("request_id", "request_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
+    step = int(ttl * 1_000_000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        stored = state.get[0] if state.exists else None
+        batch = pd.concat(list(frames)).sort_values(["micros", "request_id"])
+        hits = []
+        for micros in batch["micros"].tolist():
+            hits.append(stored is not None and micros < stored + step)
+            if not hits[-1]:
+                stored = micros
+        state.update((stored,))
+        yield pd.DataFrame({"request_id": batch["request_id"].to_numpy(), "reused": hits})
+
+    return rows.groupBy("request_key").applyInPandasWithState(
+        run, f"request_id {id_type}, reused boolean", "stored long", "append", "NoTimeout"
+    )
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -81,3 +102,29 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
         .start()
     )
     query.awaitTermination()
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Processes everything available, then stops; every micro-batch writes the groups that it changed.
+
+    Nothing waits for a watermark, so the last windows are there as well. `latest` reads the current rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the last micro-batch for each key of a table written by `run_updates`."""
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r"))
+    return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in values])

@@ -26,13 +26,26 @@ def brute(rows, ttl):
     return out
 
 
-def test_reuse_walk_and_slices_agree_with_brute_force(spark):
+def test_reuse_agrees_with_brute_force(spark):
     rng = random.Random(3)
     rows = [(rng.choice("aaab"), rng.randrange(3000)) for _ in range(400)]
     want = brute(rows, 300)
-    for limit in (10_000, 150):
-        got = {r["request_id"]: r["reused"] for r in requests.reuse(log(spark, rows), 300, limit).collect()}
-        assert got == want
+    got = {r["request_id"]: r["reused"] for r in requests.reuse(log(spark, rows), 300).collect()}
+    assert got == want
+
+
+def test_stream_reuse_agrees_with_brute_force(spark):
+    """Also when the log arrives in several micro-batches, in time order."""
+    rng = random.Random(4)
+    rows = sorted(((rng.choice("aaab"), rng.randrange(3000)) for _ in range(300)), key=lambda x: x[1])
+    folder = scratch_path(spark, "stream-reuse")
+    df = log(spark, rows)
+    for part in range(3):
+        df.filter(F.col("request_id").between(part * 100, part * 100 + 99)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    signals.run_to_table(signals.stream_reuse(stream, 300), f"{folder}/out", f"{folder}/cp")
+    got = {r["request_id"]: r["reused"] for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == brute(rows, 300)
 
 
 def test_a_hit_does_not_extend_the_ttl(spark):
@@ -50,10 +63,12 @@ def nested(spark):
 def test_rank_nested_requests(spark):
     rows = requests.explode_requests(nested(spark).filter("request_id = 'r1'"))
     corpus = spark.createDataFrame([(1, "oak desk"), (2, "lamp"), (3, "chair")], "product_id long, product_name string")
-    out = requests.nest_responses(requests.rank_requests(rows, corpus, top_k=2)).first()
+    models = requests.fit_models(corpus)
+    out = requests.nest_responses(requests.rank_requests(rows, models)).first()  # the request asks for two
     assert [r["product_id"] for r in out["results"]] == [1, 2]
+    assert requests.rank_requests(rows.drop("top_k"), models).count() == 3
     with pytest.raises(Exception, match="not finite"):
-        requests.rank_requests(rows, corpus, 2, lambda m: m.withColumn("score", F.lit(float("nan")))).collect()
+        requests.rank_requests(rows, models, 2, lambda m: m.withColumn("score", F.lit(float("nan")))).collect()
 
 
 def test_rejects(spark):
@@ -69,6 +84,26 @@ def test_content_key_ignores_product_order(spark):
     assert keys[1] == keys[2] != keys[3]
 
 
+def test_content_keys_and_fingerprints_tell_fields_apart(spark):
+    heads = spark.createDataFrame([(1, "q"), (2, "q"), (3, "q"), (4, "q")], "request_id long, query string")
+    rows = [(1, 5, "a|b", "c"), (2, 5, "a", "b|c"), (3, 5, None, "c"), (4, 5, "n", "c")]
+    cands = spark.createDataFrame(rows, "request_id long, product_id long, product_name string, product_class string")
+    keys = [r["content_key"] for r in requests.content_keys(heads, cands).collect()]
+    assert len(set(keys)) == 4
+    columns = ["product_id", "product_name", "product_class"]
+    prints = [fingerprint.fingerprint(cands.filter(F.col("request_id") == i), "t", columns).first()["content"] for i in range(1, 5)]
+    assert len(set(prints)) == 4
+
+
+def test_similarity_enters_the_request_features(spark):
+    rows = requests.explode_requests(nested(spark).filter("request_id = 'r1'")).withColumn("query_id", F.lit(7))
+    corpus = spark.createDataFrame([(1, "oak desk"), (2, "lamp")], "product_id long, product_name string")
+    qv = spark.createDataFrame([(7, [1.0, 0.0])], "query_id int, vector array<double>")
+    pv = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "product_id long, vector array<double>")
+    out = requests.score_candidates(rows, requests.fit_models(corpus, qv, pv)).collect()
+    assert {r["product_id"]: r["semantic_similarity"] for r in out} == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
 def test_fingerprint_ignores_row_order_and_sees_changes(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
     one = fingerprint.fingerprint(df, "t", ["id", "t"]).first()
@@ -94,10 +129,10 @@ def test_stream_windows_equal_batch(spark):
     df = spark.createDataFrame(rows, "request_id long, ts timestamp, status int, latency_ms double")
     df.write.parquet(f"{folder}/in")
     stream = signals.windowed_signals(spark.readStream.schema(df.schema).parquet(f"{folder}/in"))
-    signals.run_to_table(stream, f"{folder}/out", f"{folder}/cp")
-    got = {r["window_start"]: r for r in spark.read.parquet(f"{folder}/out").collect()}
+    signals.run_updates(stream, f"{folder}/out", f"{folder}/cp")
+    got = {r["window_start"]: r for r in signals.latest(spark.read.parquet(f"{folder}/out"), ["window_start"]).collect()}
     want = {r["window_start"]: r for r in signals.windowed_signals(df).collect()}
-    assert len(got) >= len(want) - 2 and all(want[k] == v for k, v in got.items())
+    assert got == want
 
 
 def training(spark, n=30, per=12, offset=0):
