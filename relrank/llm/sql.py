@@ -1,3 +1,34 @@
 """SQL of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+_REACH = """
+reach as (select node, node as c from nodes union select l.b, r.c from reach r join both_ways l on l.a = r.node),
+least as (select node, min(c) as component_id from reach group by node)"""
+
+SQL: dict[str, str] = {
+    "op2_ngram_jaccard": f"""
+with recursive words as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+shingles as materialized (
+  select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) end) as g from words),
+sizes as (select doc_id, count(g) as n from words left join shingles using (doc_id) group by doc_id),
+links as materialized (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as common from shingles x join shingles y using (g)
+    where x.doc_id < y.doc_id group by all) join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+  where 100 * common >= 75 * (p.n + q.n - common)),
+both_ways as (select a, b from links union all select b, a from links),
+nodes as (select doc_id as node from documents),{_REACH}
+select doc_id, n as n_shingles, component_id from sizes join least on node = doc_id""",
+    "op10_embedding_dedup": f"""
+with recursive vectors as materialized (
+  select vec_id, label, embedding::double[] as v, sqrt(list_inner_product(embedding::double[], embedding::double[])) as size
+  from embeddings),
+links as materialized (
+  select x.vec_id as a, y.vec_id as b from vectors x join vectors y on x.label = y.label and x.vec_id < y.vec_id
+  where list_inner_product(x.v, y.v) / (x.size * y.size) >= 0.98),
+both_ways as (select a, b from links union all select b, a from links),
+nodes as (select vec_id as node from embeddings),{_REACH}
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on node = vec_id left join (select a, count(*) as n_links from both_ways group by a) on a = vec_id""",
+}
