@@ -253,11 +253,10 @@ def sequences(packed: DataFrame) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
         number = table.column("sequence_id").to_numpy()
-        cuts = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        starts, ends = W.runs_of(number)
         blobs = table.column("ids").to_pylist()
-        ends = np.append(cuts[1:], len(number))
-        held = [b"".join(blobs[a:b]) for a, b in zip(cuts, ends, strict=True)]
-        return pa.table({"sequence_id": number[cuts], "ids": pa.array(held, pa.binary())})
+        held = [b"".join(blobs[a:b]) for a, b in zip(starts, ends, strict=True)]
+        return pa.table({"sequence_id": number[starts], "ids": pa.array(held, pa.binary())})
 
     groups = packed.select("sequence_id", "offset", "ids", F.expr("sequence_id div 256").alias("g"))
     return groups.groupBy("g").applyInArrow(run, "sequence_id long, ids binary")

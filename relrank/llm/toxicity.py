@@ -20,14 +20,14 @@ from pyspark.sql import types as T
 from relrank.llm import words as W
 from relrank.session import materialize
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 BITS = 20
 BUCKETS = 1 << BITS
 BLOCK = 1 << 14  # buckets per row of counts
 MAX_TRAIN = 20_000  # labelled rows that the model is fitted on
-MAX_FEATURES = 1 << 12  # n-grams with a weight, those that tell the classes apart best
-MIN_DOCS = 5
-PENALTY, ROUNDS, RATE = 1e-4, 120, 0.1
+MAX_FEATURES = 1 << 10  # n-grams with a weight, those that tell the classes apart best
+MIN_DOCS = 8
+PENALTY, ROUNDS, RATE = 3e-4, 120, 0.1
 THRESHOLD = 0.3
 
 

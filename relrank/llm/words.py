@@ -47,6 +47,14 @@ def sorted_unique(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
+def runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of equal neighbours."""
+    if not len(x):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return starts, np.append(starts[1:], len(x))
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
