@@ -32,6 +32,9 @@ from relrank.streaming import signals
 
 MODELS = report.Models()
 DAY = 86_400
+JUDGMENT_COLUMNS = [
+    "query_id", "product_id", "label", "annotation_count", "original_labels", "resolution_method", "relevance_score"
+]
 
 
 class Inputs:
@@ -174,16 +177,8 @@ def tsv_tables(i: Inputs) -> DataFrame:
     for name, file in tables.RAW_FILES.items():
         tables.write_tsv(raw[name], f"{folder}/{file}")
     back = tables.read_raw(i.spark, folder)
-    q = back["queries"].select(
-        F.lit("query").alias("kind"), F.col("query_id").alias("id"), F.col("query").alias("body")
-    )
-    p = back["products"].select(
-        F.lit("product"), "product_id", F.concat_ws("#", "product_name", "product_features")
-    )
-    labels = back["labels"].select(
-        F.lit("label"), "id", F.concat_ws("#", F.col("query_id").cast("string"), "label")
-    )
-    return q.union(p).union(labels)
+    columns = {"queries": S.QUERY_COLUMNS, "products": S.PRODUCT_COLUMNS, "labels": S.LABEL_COLUMNS}
+    return fingerprint.fingerprints({name: (back[name], held) for name, held in columns.items()})
 
 
 @query
@@ -204,11 +199,15 @@ def saved_tables(i: Inputs) -> DataFrame:
         "product_vectors": i.product_vectors,
     }
     tables.write_tables(parts, folder)
-    out = None
-    for name, df in tables.read_tables(i.spark, folder, list(parts)).items():
-        row = df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
-        out = row if out is None else out.unionByName(row)
-    return out
+    columns = {
+        "queries": S.QUERY_COLUMNS,
+        "products": S.PRODUCT_COLUMNS,
+        "judgments": JUDGMENT_COLUMNS,
+        "conflict_audit": JUDGMENT_COLUMNS,
+        "product_vectors": ["product_id"],
+    }
+    back = tables.read_tables(i.spark, folder, list(parts))
+    return fingerprint.fingerprints({name: (df, columns[name]) for name, df in back.items()})
 
 
 @query
@@ -407,7 +406,7 @@ def judged_pairs(i: Inputs) -> DataFrame:
         "product_name",
         "product_class",
         "category_hierarchy",
-        F.length("product_description").alias("description_chars"),
+        F.md5("product_description").alias("description_md5"),
         "rating_count",
     )
 
@@ -967,11 +966,6 @@ def stream_rank(i: Inputs) -> DataFrame:
 # Reproducibility ----------------------------------------------------------------------
 
 
-JUDGMENT_COLUMNS = [
-    "query_id", "product_id", "label", "annotation_count", "original_labels", "resolution_method", "relevance_score"
-]
-
-
 def _prints(i: Inputs) -> dict[str, tuple[DataFrame, list[str]]]:
     return {
         "queries": (i.queries, S.QUERY_COLUMNS),

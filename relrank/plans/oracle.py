@@ -784,15 +784,29 @@ def _six(table: str, columns: list[str], keys: str = "query_id, product_id") ->
 def _bodies() -> dict[str, str]:
     q: dict[str, str] = {}
     # sources and sinks
-    q["tsv_tables"] = """select 'query' as kind, query_id as id, query as body from raw_queries
-      union all select 'product', product_id, concat_ws('#', product_name, nullif(product_features, '')) from raw_products
-      union all select 'label', id, query_id || '#' || label from raw_labels"""
+    # An empty text is written like a missing one.
+    products = "(select * replace (nullif(product_features, '') as product_features) from raw_products)"
+    q["tsv_tables"] = " union all ".join(
+        print_row(name, table, columns)
+        for name, table, columns in (
+            ("queries", "raw_queries", S.QUERY_COLUMNS),
+            ("products", products, S.PRODUCT_COLUMNS),
+            ("labels", "raw_labels", S.LABEL_COLUMNS),
+        )
+    )
     bm25_top = "select query_id, product_id, score, rank::int as rank from bm25_ranked where rank <= 10"
     q["saved_rankings"] = bm25_top
-    q["saved_tables"] = """select 'queries' as table_name, count(*) as row_count from queries
-      union all select 'products', count(*) from products union all select 'judgments', count(*) from resolved
-      union all select 'conflict_audit', count(*) from resolved where contains(original_labels, '|')
-      union all select 'product_vectors', count(*) from product_vectors"""
+    judged = ["query_id", "product_id", "label", "annotation_count", "original_labels", "resolution_method", "relevance_score"]
+    q["saved_tables"] = " union all ".join(
+        print_row(name, table, columns)
+        for name, table, columns in (
+            ("queries", "queries", S.QUERY_COLUMNS),
+            ("products", "products", S.PRODUCT_COLUMNS),
+            ("judgments", "resolved", judged),
+            ("conflict_audit", "resolved where contains(original_labels, '|')", judged),
+            ("product_vectors", "product_vectors", ["product_id"]),
+        )
+    )
     q["saved_splits"] = "select split, relevance_score, count(*) as judgments from judged group by all"
     q["saved_features"] = "select count(*) as pairs, " + ", ".join(
         f"round(avg({c}), 5) as mean_{c}" for c in S.MODEL_FEATURES
@@ -885,7 +899,7 @@ def _bodies() -> dict[str, str]:
       from judged a group by split"""
     q["train_products"] = "select * from corpus"
     q["judged_pairs"] = """select query_id, product_id, relevance_score, query, product_name, product_class,
-      category_hierarchy, length(product_description)::int as description_chars, rating_count
+      category_hierarchy, md5(product_description) as description_md5, rating_count
       from judgments left join queries using (query_id) left join products using (product_id)"""
     # retrieval
     q["bm25_idf"] = "select term, df, round(idf, 9) as idf from idf"
