@@ -18,7 +18,12 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def build_pairs(judgments: DataFrame, queries: DataFrame, products: DataFrame) -> DataFrame:
-    """Judgments with query text and product fields; Spark picks broadcast or shuffle by size."""
+    """Judgments with query text and product fields; Spark picks broadcast or shuffle by size.
+
+    A query or product id that occurs twice would multiply pairs and is an error.
+    """
+    require_unique(queries, ["query_id"])
+    require_unique(products, ["product_id"])
     return judgments.join(queries.select("query_id", "query"), "query_id", "left").join(
         products, "product_id", "left"
     )

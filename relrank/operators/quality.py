@@ -151,6 +151,9 @@ def check_products(df: DataFrame) -> DataFrame:
     return _union([first, values, unique_ids(df, "product_id", "product_product_id_unique")])
 
 
+LISTED_LABELS = 20  # invalid labels that the check row names, in order; it counts them all
+
+
 def invalid_labels(df: DataFrame) -> DataFrame:
     """Every label outside the scale with its row count; null is one of them."""
     known = F.coalesce(F.col("label").isin(*S.LABEL_GRADES), F.lit(False))
@@ -206,9 +209,12 @@ def check_labels(df: DataFrame) -> DataFrame:
             ),
         ],
     )
-    invalid = invalid_labels(df).agg(
+    found = invalid_labels(df)
+    named = found.filter(F.col("label").isNotNull()).orderBy("label").limit(LISTED_LABELS)
+    names = named.agg(F.array_join(F.sort_array(F.collect_list("label")), ",").alias("names"))
+    invalid = found.agg(
         F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("label").alias("values")
-    )
+    ).withColumn("names", names.scalar())
     valid = _rows(
         invalid,
         [
@@ -216,7 +222,7 @@ def check_labels(df: DataFrame) -> DataFrame:
                 "labels_valid",
                 F.col("rows"),
                 detail=F.when(
-                    F.col("rows") > 0, F.concat(F.lit("values="), F.col("values").cast("string"))
+                    F.col("rows") > 0, F.concat_ws(":", F.concat(F.lit("values="), F.col("values").cast("string")), "names")
                 ).otherwise(""),
             )
         ],

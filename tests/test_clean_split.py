@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from relrank.operators import clean, quality, split
+from relrank.operators import clean, pairs, quality, split
 
 
 def test_normalize_keeps_case_and_collapses_space(spark):
@@ -89,3 +89,17 @@ def test_label_checks(spark):
     assert quality.foreign_key(labels, products, "product_id", "fk").first()["violations"] == 1
     with pytest.raises(ValueError, match="labels_valid"):
         quality.require_valid(quality.check_labels(labels))
+
+
+def test_check_row_names_invalid_labels(spark):
+    rows = [(1, 1, 1, "Exact"), (2, 1, 2, "Odd"), (3, 1, 3, "Bad"), (4, 1, 4, None), (5, 1, 5, "Bad")]
+    df = spark.createDataFrame(rows, "id long, query_id long, product_id long, label string")
+    row = quality.check_labels(df).filter("check = 'labels_valid'").first()
+    assert row["violations"] == 4 and row["detail"] == "values=2:Bad,Odd"
+
+
+def test_pairs_need_unique_keys(spark):
+    judgments = spark.createDataFrame([(1, 1)], "query_id long, product_id long")
+    queries = spark.createDataFrame([(1, "a"), (1, "b")], "query_id long, query string")
+    with pytest.raises(ValueError, match="not unique"):
+        pairs.build_pairs(judgments, queries, judgments.select("product_id"))
