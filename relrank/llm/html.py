@@ -124,12 +124,14 @@ class Page:
                     break
         names = _attribute_words(attributes) if attributes else set()
         in_article = any(x.article for x in self._stack)
+        # An article's own header holds its title.
+        telling = names & NO_CONTENT_NAMES - ({"header"} if in_article else set())
         # What a page marks as its article or main part is content whatever else its class says.
         article = 2 if tag == "article" and not names & NO_CONTENT_NAMES else 1 if tag == "main" or "main" in names and "role" in attributes.lower() else 0
         dropped = (
             tag in NO_CONTENT
             or tag == "header" and not in_article
-            or bool(attributes) and not article and tag not in ("html", "body") and (bool(names & NO_CONTENT_NAMES) or bool(_HIDDEN.search(attributes)))
+            or bool(attributes) and not article and tag not in ("html", "body") and (bool(telling) or bool(_HIDDEN.search(attributes)))
         )
         start = len(self.pieces)
         self._add(f"<{tag}>", False)

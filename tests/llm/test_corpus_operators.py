@@ -30,7 +30,7 @@ def encode(text):
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var t="</p>";</script></head>
 <body class="menu-open"><header><p>Site</p></header><nav><ul><li><a href="/">Home</a></ul></nav><div id="cookie-notice">Cookies</div>
-<!-- <p>gone</p> --><article class="post"><h1>Head&nbsp;line</h1><p>One <b>bo</b>ld &lt;tag&gt;<br>two<p>three   four
+<!-- <p>gone</p> --><article class="post"><header class="entry-header"><h1>Head&nbsp;line</h1></header><p>One <b>bo</b>ld &lt;tag&gt;<br>two<p>three   four
 <div class="ad-slot">Buy</div><aside>Side</aside><form><p>Mail</p></form><ul><li>a<li>b</ul><div class="comments"><p>First!</p></div>
 <template><p>x</p></template></article><aside class="sidebar">More</aside><footer>&copy; us</footer></body></html>"""
 
