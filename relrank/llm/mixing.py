@@ -171,6 +171,8 @@ def mix(docs: DataFrame, target: Target) -> DataFrame:
         F.col("source_key").alias("_key"), F.col("passes").alias("_passes"), F.col("cut").alias("_cut"),
         F.col("last_range").alias("_last"),
     )
+    # One row per source, written out: where there are few sources Spark knows it, and texts are not shuffled.
+    used = materialize(used, "mixture_cuts")
     rows = docs.select(*[F.col(f"`{n}`") for n in names]).withColumn("_h", _order(F.lit(-1)))
     rows = rows.join(used, _source_key("source") == F.col("_key"))
     mine = F.struct(F.col("_h").alias("h"), F.col("doc_id"), F.xxhash64("text").alias("t"))

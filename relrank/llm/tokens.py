@@ -15,7 +15,7 @@ import numpy as np
 
 from relrank.llm import words as W
 
-CACHE = 1 << 21
+CACHE = 1 << 19
 _SPACE = 0x20
 _AFTER_SPACE = (W._BYTES > 0x20) & ~np.isin(W._BYTES, [0xC2, 0xE1, 0xE2, 0xE3])
 _ALNUM = np.isin(W._BYTES, np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", np.uint8))

@@ -29,6 +29,7 @@ MAX_FEATURES = 1 << 11  # n-grams with a weight, those that tell the classes apa
 MIN_DOCS = 8
 PENALTY, ROUNDS, POWER_ROUNDS = 1e-4, 300, 20
 THRESHOLD = 0.3
+SLICE_BYTES = 1 << 18  # every character makes an n-gram of each size
 
 
 def grams(part: W.Slice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -76,7 +77,7 @@ class Model:
         weight = np.zeros(BUCKETS)
         weight[self.buckets] = self.weights
         out = np.full(len(column), self.bias)
-        for part in W.slices(column):
+        for part in W.slices(column, SLICE_BYTES):
             row, bucket = present(part, chosen)
             out[part.first : part.first + part.rows] += np.bincount(row, weight[bucket], part.rows)
         return out
@@ -87,7 +88,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2, BUCKETS), np.int32)
     for batch in batches:
         toxic = batch.column("toxic").to_numpy().astype(bool)
-        for part in W.slices(batch.column("text")):
+        for part in W.slices(batch.column("text"), SLICE_BYTES):
             row, bucket = present(part)
             is_toxic = toxic[part.first + row]
             total[1] += np.bincount(bucket[is_toxic], minlength=BUCKETS).astype(np.int32)
@@ -116,7 +117,7 @@ def _project(buckets: np.ndarray):
         chosen = np.zeros(BUCKETS, bool)
         chosen[buckets] = True
         for batch in batches:
-            for part in W.slices(batch.column("text")):
+            for part in W.slices(batch.column("text"), SLICE_BYTES):
                 row, bucket = present(part, chosen)
                 place = np.searchsorted(buckets, bucket).astype(np.int32)
                 cuts = np.searchsorted(row, np.arange(part.rows + 1))
