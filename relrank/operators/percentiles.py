@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relrank.operators import ranking
+from relrank.session import materialize
 
 
 def quantiles(
@@ -23,6 +24,7 @@ def quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("v"))
         .agg(F.count("*").alias("n"))
     )
+    counts = materialize(counts, "value-counts")  # read by the range sort, its sample and the totals
     running = ranking.prefix_sum(counts, keys, [F.col("v").asc()], "n", "through")
     totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
     placed = running.join(totals, keys) if keys else running.withColumn(

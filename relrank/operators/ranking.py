@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from relrank.session import cut_lineage
+from relrank.session import cut_lineage, materialize
 
 
 def id_order(column: str = "product_id", mode: str = "numeric") -> Column:
@@ -66,8 +66,8 @@ def full_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "
 
 
 def full_ranks(df: DataFrame, keys: list[str], orders: dict[str, list[Column]]) -> DataFrame:
-    """Several rankings of the same groups side by side."""
-    out = df.withColumn("_one", F.lit(1).cast("long"))
+    """Several rankings of the same groups side by side. Rows are written first: every range sort samples its input."""
+    out = materialize(df.withColumn("_one", F.lit(1).cast("long")), "to-rank")
     for rank, order in orders.items():
         out = prefix_sum(out, keys, order, "_one", rank)
     return out.drop("_one")
