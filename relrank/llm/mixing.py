@@ -147,6 +147,7 @@ def mixture(docs: DataFrame, target: Target) -> DataFrame:
     filled = ranges.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     ends = filled.join(weights.where("tokens > 0").select("source_key", "rest"), "source_key")
     ends = ends.where("before <= rest and before + tokens > rest").select("source_key", "range", "before", "rest")
+    ends = materialize(ends, "mixture_ends")  # one row per source: where they are few, texts are not shuffled
     last = docs.select(
         _source_key("source").alias("source_key"), _order(F.lit(-1)).alias("h"), "doc_id", "text"
     ).withColumn("range", _range_of(F.col("h"))).join(ends, ["source_key", "range"])
