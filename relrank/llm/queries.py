@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relrank.llm import embeddings, html, idfile, jaccard, mixing, packing, passages, quality, toxicity, trie
+from relrank.llm import words as W
 from relrank.session import scratch_path
 
 
 def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    W.small_batches(spark)
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 

@@ -27,6 +27,11 @@ _LANES = _RANDOM.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _POWERS = [np.ones(1, np.uint64)]
 
 
+def small_batches(spark) -> None:
+    """Texts go to Python a thousand at a time, so that a worker's memory does not depend on how many fit a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
