@@ -170,6 +170,40 @@ def test_passages(spark):
     assert passages.duplicate_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_do_not_depend_on_the_first_of_a_group(spark):
+    """Copies that share words, or a whole line, with an earlier document that is otherwise different."""
+    rng = random.Random(31)
+    line, body = sentence(rng, 30), sentence(rng, 60)
+    inner = f"{sentence(rng, 35)} {line} {sentence(rng, 35)}"
+    rows = [(i, f"{sentence(rng, 60)} {line} {sentence(rng, 60)}") for i in range(1, 8)]
+    rows += [(20, inner), (21, f"{sentence(rng, 30)} {inner}"), (22, f"{inner} {body}"), (23, f"{body} {sentence(rng, 20)}")]
+    # 31 has both 30 and 33's own words; 33 is not similar to 30.
+    w = sentence(rng, 60).split()
+    rows += [(30, " ".join(w))]
+    rows += [(31, " ".join(w[:50] + ["a", "b", "c", "d"] + w[50:])), (33, " ".join(w[20:50] + ["a", "b", "c", "d"] + w[50:] + ["e"] * 8))]
+    spans = passages.duplicate_passages(documents(spark, rows)).collect()
+    pairs = {(s["doc_id"], s["first_doc_id"]) for s in spans}
+    assert pairs >= {(21, 20), (22, 20), (23, 22), (31, 30)}
+    assert not {i for i, _ in pairs} & set(range(1, 8)) and (20, 1) not in pairs
+
+
+def test_passages_of_which_every_part_stands_in_an_earlier_document(spark):
+    """Two near copies, all of whose short runs of words also stand in earlier documents of other content."""
+    rng = random.Random(33)
+    rows, number = [], 0
+    for k in range(12):
+        w = sentence(rng, 110).split()
+        for i in range(0, 96, 8):
+            rows.append((number, f"{sentence(rng, 40)} {' '.join(w[i : i + 26])} {sentence(rng, 40)}"))
+            number += 1
+        one, two = " ".join(w), " ".join([*w[:16], "a", *w[16:48], "b", *w[48:80], "c", *w[80:]])
+        assert len(shingle_set(one) & shingle_set(two)) >= 0.75 * len(shingle_set(one) | shingle_set(two))
+        rows += [(1000 + k, f"{sentence(rng, 40)} {one} {sentence(rng, 40)}")]
+        rows += [(2000 + k, f"{sentence(rng, 40)} {two} {sentence(rng, 40)}")]
+    spans = passages.duplicate_passages(documents(spark, rows)).collect()
+    assert {(s["doc_id"], s["first_doc_id"]) for s in spans} == {(2000 + k, 1000 + k) for k in range(12)}
+
+
 def labelled(spark, n=600):
     rng = random.Random(2)
     rows, labels = [], []
