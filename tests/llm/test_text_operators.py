@@ -204,6 +204,29 @@ def test_passages_of_which_every_part_stands_in_an_earlier_document(spark):
     assert {(s["doc_id"], s["first_doc_id"]) for s in spans} == {(2000 + k, 1000 + k) for k in range(12)}
 
 
+def test_passages_of_the_stated_similarity_are_found(spark):
+    """Edited copies whose Jaccard similarity is 0.75 or more, against brute force; and one changed run of seven words."""
+    rng = random.Random(32)
+    rows, want = [], {}
+    for k in range(150):
+        words = [f"k{k}n{i}" for i in range(rng.randrange(50, 140))]
+        other = list(words)
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(3, len(other) - 3)
+            other[at : at + rng.randrange(2)] = [f"c{rng.randrange(10**6)}"] * rng.randrange(1, 3)
+        if k == 0:
+            words = [f"k{k}n{i}" for i in range(95)]
+            other = words[:44] + [f"c{i}" for i in range(7)] + words[51:]
+        a, b = shingle_set(" ".join(words)), shingle_set(" ".join(other))
+        want[1000 + k] = len(a & b) >= 0.75 * len(a | b)
+        rows += [(k, f"{sentence(rng, 70)} {' '.join(words)} {sentence(rng, 30)}")]
+        rows += [(1000 + k, f"{sentence(rng, 20)} {' '.join(other)} {sentence(rng, 80)}")]
+    found = {s["doc_id"]: s["first_doc_id"] for s in passages.duplicate_passages(documents(spark, rows)).collect()}
+    similar = {i for i, near in want.items() if near}
+    assert 1000 in similar and len(similar) > 50
+    assert similar <= set(found) and all(found[i] == i - 1000 for i in found)
+
+
 def labelled(spark, n=600):
     rng = random.Random(2)
     rows, labels = [], []
