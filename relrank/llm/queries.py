@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relrank.llm import embeddings, html, idfile, jaccard, mixing, packing, passages, quality, toxicity, trie
+from relrank.llm import embeddings, html, idfile, jaccard, mixing, packing, passages, quality, toxicity
+from relrank.llm import treemerge, trie, variants, whitening
 from relrank.llm import words as W
 from relrank.session import scratch_path
 
@@ -72,6 +73,18 @@ def op10_embedding_dedup(spark: SparkSession, path: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, path, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, path: str) -> DataFrame:
+    return whitening.whiten(_table(spark, path, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, path: str) -> DataFrame:
+    return treemerge.exact_duplicates(spark.read.parquet(f"{path}/documents.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, path: str) -> DataFrame:
+    return variants.variant_groups(spark.read.parquet(f"{path}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -83,4 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
