@@ -7,13 +7,12 @@ only ranked results are nested again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from relrank import schema as S
 from relrank.functions import text as tx
@@ -201,40 +200,49 @@ def content_keys(
 # Reuse --------------------------------------------------------------------------------
 
 
-def _walk(ttl: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Marks reuse over rows sorted by (key, time). Only the last key's stored time is carried along."""
+def _successors(moments: DataFrame, step: int) -> DataFrame:
+    """(request_key, micros, next): the key's first moment at or after micros + step, where there is one.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, stored = None, 0
-        step = int(ttl * 1_000_000)
-        for frame in frames:
-            keys = frame["request_key"].to_numpy()
-            times = frame["micros"].to_numpy()
-            hits = np.empty(len(frame), dtype=bool)
-            for i in range(len(frame)):
-                if keys[i] == last_key and times[i] < stored + step:
-                    hits[i] = True
-                else:
-                    hits[i] = False
-                    last_key, stored = keys[i], times[i]
-            yield pd.DataFrame({"request_id": frame["request_id"], "reused": hits})
-
-    return run
+    Moments and the times they look ahead to are range-sorted together; backwards in time the last moment passed is the
+    next one. What lies in a later range comes from the ranges' first moments, so that a key spreads over ranges.
+    """
+    seen = moments.select("request_key", F.col("micros").alias("at"), F.lit(1).alias("mark"), "micros")
+    ahead = moments.select("request_key", (F.col("micros") + step).alias("at"), F.lit(0).alias("mark"), "micros")
+    both = seen.unionByName(ahead).repartitionByRange("request_key", "at", "mark")
+    ranged = materialize(both.withColumn("range", F.spark_partition_id()), "moments")
+    moment = F.when(F.col("mark") == 1, F.col("micros"))
+    backwards = W.partitionBy("request_key", "range").orderBy(F.desc("at"), F.desc("mark")).rowsBetween(W.unboundedPreceding, 0)
+    later = W.partitionBy("request_key").orderBy(F.desc("range")).rowsBetween(W.unboundedPreceding, -1)
+    firsts = ranged.groupBy("request_key", "range").agg(F.min(moment).alias("first"))
+    firsts = firsts.select("request_key", "range", F.last("first", ignorenulls=True).over(later).alias("beyond"))
+    found = ranged.withColumn("within", F.last(moment, ignorenulls=True).over(backwards)).where("mark = 0")
+    joined = found.join(firsts, ["request_key", "range"])
+    return joined.select("request_key", "micros", F.coalesce("within", "beyond").alias("next")).where("next is not null")
 
 
 def reuse(log: DataFrame, ttl: float = TTL_SECONDS) -> DataFrame:
     """`(request_id, reused)`: whether an equal request was answered and stored within the TTL.
 
-    A reused answer is not stored again, so the TTL runs from the last stored one: the decision
-    depends on earlier decisions of the same key. Keys are walked in time order, with constant memory.
+    A reused answer is not stored again, so the TTL runs from the last stored one. The stored answers of a key are the
+    chain that leads from its first request to its first one after the TTL, and so on. Chains are followed by pointer
+    doubling: each round marks what the marked requests reach and doubles the steps of the pointers, so that rounds grow
+    with the logarithm of the longest chain and no task holds a key. Of equal times the smaller request_id comes first.
     """
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    rows = log.select("request_id", "request_key", micros.alias("micros"))
-    id_type = rows.schema["request_id"].dataType.simpleString()
-    ordered = rows.repartition("request_key").sortWithinPartitions(
-        "request_key", "micros", "request_id"
-    )
-    return ordered.mapInPandas(_walk(ttl), f"request_id {id_type}, reused boolean")
+    rows = log.select("request_id", F.coalesce("request_key", F.lit("")).alias("request_key"), micros.alias("micros"))
+    moments = rows.groupBy("request_key", "micros").agg(F.min("request_id").alias("first_id"))
+    moments = materialize(moments, "moments")
+    pointers = materialize(_successors(moments, int(ttl * 1_000_000)), "pointers")
+    stored = moments.groupBy("request_key").agg(F.min("micros").alias("micros"))
+    while not pointers.isEmpty():
+        reached = stored.join(pointers, ["request_key", "micros"]).select("request_key", F.col("next").alias("micros"))
+        stored = materialize(stored.unionByName(reached), "stored")
+        further = pointers.select("request_key", F.col("micros").alias("next"), F.col("next").alias("further"))
+        doubled = pointers.join(further, ["request_key", "next"])
+        pointers = materialize(doubled.select("request_key", "micros", F.col("further").alias("next")), "pointers")
+    first = moments.join(stored, ["request_key", "micros"])
+    joined = rows.join(first, ["request_key", "micros"], "left")
+    return joined.select("request_id", (~F.col("request_id").eqNullSafe(F.col("first_id"))).alias("reused"))
 
 
 # Audit and log reports ----------------------------------------------------------------

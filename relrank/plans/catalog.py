@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from relrank import schema as S
 from relrank.operators import (
+    boosting,
     clean,
     features,
     fingerprint,
@@ -24,6 +26,7 @@ from relrank.operators import (
     semantic,
     split,
 )
+from relrank.operators.trees import TreeEnsemble
 from relrank.plans import profile, report
 from relrank.session import materialize, scratch_path
 from relrank.sources import tables, views
@@ -840,7 +843,7 @@ def compact_report(i: Inputs) -> DataFrame:
 
 @query
 def rank_requests(i: Inputs) -> DataFrame:
-    return _round(requests.rank_requests(i.candidates, i.request_models), 6, ["score"])
+    return requests.rank_requests(i.candidates, i.request_models)
 
 
 @query
@@ -945,8 +948,19 @@ def stream_signals(i: Inputs) -> DataFrame:
 
 @query
 def stream_reuse(i: Inputs) -> DataFrame:
-    stream, folder = _stream_of(i, i.log, "reuse")
-    out = signals.stream_reuse(stream, DAY)
+    """The log in four parts, in which requests arrive up to a day out of order, and the row that ends the stream."""
+    signals.stateful(i.spark)
+    folder = scratch_path(i.spark, "reuse")
+    log = i.log.withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("request_id"), F.lit(DAY * 1_000_000))
+    ends = log.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high")).first()
+    width = ((ends["high"] or 0) - (ends["low"] or 0)) // 4 + 1
+    part = F.floor((arrival - F.lit(ends["low"] or 0)) / width)
+    for k in range(4):
+        log.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    signals.closing_row(log, "10 days").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = i.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    out = signals.stream_reuse(stream, DAY, lateness="2 days")
     signals.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
     return i.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
@@ -959,8 +973,7 @@ def stream_rank(i: Inputs) -> DataFrame:
     stream_ranking.rank_stream(
         stream, i.request_models, f"{folder}/ranked", f"{folder}/audit", f"{folder}/checkpoint"
     )
-    ranked = i.spark.read.parquet(f"{folder}/ranked").drop("batch")
-    return _round(ranked, 6, ["score"])
+    return i.spark.read.parquet(f"{folder}/ranked").drop("batch")
 
 
 # Reproducibility ----------------------------------------------------------------------
@@ -1013,67 +1026,105 @@ def reuse_decision(i: Inputs) -> DataFrame:
 # Learning (rows only) -----------------------------------------------------------------
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def _kept(i: Inputs, name: str, build: Callable[[], object]) -> object:
+    """What a session has derived once from the same files: training frames on disk, fitted models, trials."""
+    key = (i.spark.sparkContext.applicationId, i.path, tables.version(i.spark, i.path), name)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def _learning_frames(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Feature matrix per split, written once: training reads it many times."""
-    path = scratch_path(i.spark, "learning")
-    tables.write_by_split(i.matrix(i.judged), path)
+
+    def build() -> str:
+        path = scratch_path(i.spark, "learning")
+        tables.write_by_split(i.matrix(i.judged), path)
+        return path
+
+    path = _kept(i, "frames", build)
     train, validation, test = (tables.read_split(i.spark, path, s).drop("split") for s in S.SPLITS)
     return train, validation, test
 
 
-LTR = learning.LtrParams(rounds=20, patience=5)
+def _fitted(i: Inputs, params: boosting.RankParams) -> tuple[TreeEnsemble, DataFrame]:
+    """A ranker with all its rounds, and the test frame."""
+    train, validation, test = _learning_frames(i)
+    names = learning.feature_names(train)
+
+    def build() -> TreeEnsemble:
+        learning.require_trainable(train, names)
+        return boosting.fit_ranker(train, validation, params, names)
+
+    return _kept(i, f"ranker {params}", build), test
 
 
 @query
 def ltr_lambdamart(i: Inputs) -> DataFrame:
-    train, validation, test = _learning_frames(i)
-    model = learning.fit_lambdamart(train, validation, LTR)
+    model, test = _fitted(i, boosting.RankParams())
     return learning.rank_scored(model.transform(test))
 
 
 @query
 def ltr_pointwise(i: Inputs) -> DataFrame:
-    train, validation, test = _learning_frames(i)
-    model = learning.fit_pointwise(train, validation, rounds=5)
+    model, test = _fitted(i, boosting.RankParams(objective="pointwise"))
     return learning.rank_scored(model.transform(test))
 
 
 @query
 def multiclass_rank(i: Inputs) -> DataFrame:
     train, _, test = _learning_frames(i)
-    model = learning.fit_multiclass(train, trees=20)
+    model = learning.fit_multiclass(train)
     return learning.rank_scored(model.transform(test))
 
 
 @query
 def feature_importance(i: Inputs) -> DataFrame:
-    train, _, _ = _learning_frames(i)
-    return learning.fit_pointwise(train, rounds=5).importance(i.spark)
+    model, _ = _fitted(i, boosting.RankParams())
+    return learning.importance_rows(i.spark, model.names, model.gains())
+
+
+def _search(i: Inputs, objective: str) -> list[boosting.Trial]:
+    train, validation, _ = _learning_frames(i)
+    settings = [replace(p, objective=objective) for p in boosting.drawn_settings()]
+    names = learning.feature_names(train)
+    return _kept(i, f"search {objective}", lambda: boosting.halving_search(train, validation, names, settings)[0])
 
 
 @query
 def param_search(i: Inputs) -> DataFrame:
-    train, _, _ = _learning_frames(i)
-    trials, _ = learning.search(train, {"maxDepth": [3, 5], "stepSize": [0.1]}, folds=2, rounds=3)
-    return trials
+    """Thirty settings of the pointwise ranker."""
+    return learning.trial_table(i.spark, _search(i, "pointwise"))
 
 
 @query
 def ranker_search(i: Inputs) -> DataFrame:
-    """LambdaMART settings by NDCG@10 of the validation queries."""
-    train, validation, _ = _learning_frames(i)
-    settings = [learning.LtrParams(rounds=5, max_depth=d, learning_rate=0.1) for d in (3, 5)]
-    trials, _ = learning.search_lambdamart(train, validation, settings)
-    return trials
+    """Thirty LambdaRank settings by NDCG@10 of the validation queries."""
+    return learning.trial_table(i.spark, _search(i, "lambdarank"))
 
 
 @query
 def training_report(i: Inputs) -> DataFrame:
+    """The best setting of the search, fitted anew for the rounds that suited it, with its parameters."""
     train, validation, test = _learning_frames(i)
-    model = learning.retrain(train, {"maxDepth": 4, "stepSize": 0.1}, S.MODEL_FEATURES, rounds=5)
+    model = learning.retrain(train, _search(i, "lambdarank")[0])
     return learning.training_report(model, {"validation": validation, "test": test})
 
 
+@query
+def ensemble_scores(i: Inputs) -> DataFrame:
+    """Test pairs scored by a node table: one stump per feature, cut at the training mean, with the mean gain on either
+    side as its values."""
+    train, _, test = _learning_frames(i)
+    names = S.MODEL_FEATURES
+    model = TreeEnsemble.from_nodes(learning.stumps(train, names), names)
+    scored = model.transform(test.select("query_id", "product_id", *names))
+    return scored.select("query_id", "product_id", F.round("score", 6).alias("score"))
+
+
 @query
 def encode_text(i: Inputs) -> DataFrame:
     model = semantic.fit_text_encoder(i.products, "product_name", dimensions=16)

@@ -297,10 +297,19 @@ select c.query_id, c.product_id, j.relevance_score, b.bm25_score, t.tfidf_simila
 from compared c join judgments j using (query_id, product_id) join bm25 b using (query_id, product_id)
 join tfidf t using (query_id, product_id) join semantic s using (query_id, product_id)"""
 
-CTE["scored"] = """
+
+
+def blended(prefix: str = "") -> str:
+    """The blend in whole units of its tenth digit, rounded to nine."""
+    units = {c: f"round({prefix}{c} * 1e9)::bigint" for c in ("bm25_score", "tfidf_similarity", "token_overlap", "semantic_similarity")}
+    total = " + ".join(f"{weight} * {units[c]}" for c, weight in zip(units, (1, 10, 10, 10)))
+    return f"round(({total})::double / 1e1) / 1e9"
+
+
+CTE["scored"] = f"""
 select m.query_id, m.product_id, m.relevance_score, m.exact_match, p.category_hierarchy, m.bm25_score,
   m.tfidf_similarity as tfidf_score, m.semantic_similarity as semantic_score,
-  round(0.1::double * m.bm25_score + m.tfidf_similarity + m.token_overlap + m.semantic_similarity, 9) as blend_score
+  {blended('m.')} as blend_score
 from (select c.query_id, c.product_id, j.relevance_score, b.bm25_score, t.tfidf_similarity, c.exact_match,
   c.token_overlap, s.semantic_similarity from compared c join judgments j using (query_id, product_id)
   join bm25 b using (query_id, product_id) join tfidf t using (query_id, product_id)
@@ -717,10 +726,10 @@ CTE["request_matrix"] = (
     "join asked_bm25 b on b.query = c.query and b.product_id = c.product_id "
     "join asked_cosine t on t.query = c.query and t.product_id = c.product_id"
 )
-CTE["ranked_requests"] = """
+CTE["ranked_requests"] = f"""
 select request_id, query, product_id, product_name, score, rank from (
   select *, row_number() over (partition by request_id order by score desc, product_id, position) as rank from (
-    select *, round(0.1::double * bm25_score + tfidf_similarity + token_overlap + semantic_similarity, 9) as score
+    select *, {blended()} as score
     from request_matrix))"""
 
 FRACTIONS = ("rating_count", "average_rating", "review_count")
@@ -1049,7 +1058,7 @@ def _bodies() -> dict[str, str]:
       group by all order by count desc, category limit 20"""
     q["compact_report"] = f"select name, round(value, 6) as value from ({COMPACT})"
     # requests and logs
-    q["rank_requests"] = "select * replace (round(score, 6) as score) from ranked_requests"
+    q["rank_requests"] = "select * from ranked_requests"
     q["stream_rank"] = q["rank_requests"]
     q["request_features"] = "select query, count(*) as candidates, " + ", ".join(
         f"round(avg({c}), 5) as {c}" for c in S.MODEL_FEATURES
@@ -1087,6 +1096,18 @@ def _bodies() -> dict[str, str]:
       len({tokens('query')})::int as query_length, count(*) as requests, round(avg(n), 6) as mean_candidates,
       min(n) as min_candidates, max(n) as max_candidates from (select ts, query, coalesce(n, 0) as n from requests
       left join (select request_id, count(*) as n from candidates group by request_id) using (request_id)) group by all"""
+    # A stump per feature: its training mean at four digits, and the mean gain on either side as values.
+    gains = "(pow(2, relevance_score) - 1)"
+    cuts = ", ".join(f"round(avg({c}), 4) as cut_{c}" for c in S.MODEL_FEATURES)
+    values = ", ".join(
+        f"coalesce(round(avg({gains}) filter ({c} <= cut_{c}), 4), 0) as low_{c}, coalesce(round(avg({gains}) filter ({c} > cut_{c}), 4), 0) as high_{c}"
+        for c in S.MODEL_FEATURES
+    )
+    steps = " + ".join(f"case when {c} <= cut_{c} then low_{c} else high_{c} end" for c in S.MODEL_FEATURES)
+    q["ensemble_scores"] = f"""select query_id, product_id, round({steps}, 6) as score from matrix
+      join assignment using (query_id), (select {cuts} from matrix join assignment using (query_id) where split = 'train') c,
+      (select {values} from matrix join assignment using (query_id), (select {cuts} from matrix join assignment using (query_id)
+        where split = 'train') where split = 'train') v where split = 'test'"""
     # reproducibility
     q["table_fingerprint"] = "select * from prints"
     q["combined_fingerprint"] = """select sha256('seed=42;' || string_agg(name || '=' || row_count || '=' || content, ';'

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from relrank.functions import text as tx
 
@@ -64,30 +66,91 @@ def request_shape(requests: DataFrame, width: str = "1 day", lateness: str = "1
     )
 
 
-def stream_reuse(log: DataFrame, ttl: float) -> DataFrame:
+class _Reuse(StatefulProcessor):
+    """Requests of one key: those that wait for the watermark, and when the last answer was stored.
+
+    A request is decided once the watermark has passed it: nothing earlier can come then. State goes when nothing waits
+    and the stored answer is older than the TTL.
+    """
+
+    def __init__(self, step: int, id_type: str) -> None:
+        self.step, self.id_type = step, id_type
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.stored = handle.getValueState("stored", "micros long")
+        self.waiting = handle.getListState("waiting", f"micros long, request_id {self.id_type}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        added = [r for frame in rows for r in zip(frame["micros"].tolist(), frame["request_id"].tolist())]
+        added = [r for r in added if r[1] is not None and r[1] == r[1]]  # a row without request only moves the watermark
+        if added:
+            self.waiting.appendList(added)
+            self.handle.registerTimer(_millis(min(added)[0]))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in held if r[0] <= passed]
+        stored = self.stored.get()[0] if self.stored.exists() else None
+        times = np.array([t for t, _ in due], np.int64)
+        hits, i = np.ones(len(due), bool), 0
+        while i < len(due):  # from one stored answer to the next
+            if stored is None or times[i] >= stored + self.step:
+                hits[i], stored = False, int(times[i])
+            i = max(i, int(np.searchsorted(times, stored + self.step, "left")))
+        later = held[len(due) :]
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(_millis(later[0][0]))
+        elif held:
+            self.waiting.clear()
+        if stored is not None:
+            if later or stored + self.step > passed:
+                self.stored.update((stored,))
+                self.handle.registerTimer(_millis(stored + self.step))
+            else:
+                self.stored.clear()
+        if due:
+            yield pd.DataFrame({"request_id": [r for _, r in due], "reused": hits})
+
+    def close(self) -> None:
+        pass
+
+
+def _millis(micros: int) -> int:
+    """The first millisecond at or after a time."""
+    return -(-int(micros) // 1000)
+
+
+def stream_reuse(log: DataFrame, ttl: float, lateness: str = "10 minutes") -> DataFrame:
     """`(request_id, reused)` for a stream of requests, by the rule of the batch `reuse`.
 
-    The state of a key is the time of its last stored answer. Rows of a micro-batch are taken in time order, in any
-    order of arrival; a later micro-batch must not hold older requests of a key, as is so for a log that is read in
-    the order of writing.
+    Requests may come up to `lateness` behind the latest one, in any order: they wait in the state of their key until
+    the watermark has passed them. Later ones are dropped and counted by Spark (numRowsDroppedByWatermark). A row without
+    request_id is no request, it only moves the watermark: `closing_row` makes the one that ends a stream.
+    The state needs the RocksDB store, which `stateful` sets for a session.
     """
     id_type = log.schema["request_id"].dataType.simpleString()
-    rows = log.select("request_id", "request_key", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
-    step = int(ttl * 1_000_000)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        stored = state.get[0] if state.exists else None
-        batch = pd.concat(list(frames)).sort_values(["micros", "request_id"])
-        hits = []
-        for micros in batch["micros"].tolist():
-            hits.append(stored is not None and micros < stored + step)
-            if not hits[-1]:
-                stored = micros
-        state.update((stored,))
-        yield pd.DataFrame({"request_id": batch["request_id"].to_numpy(), "reused": hits})
-
-    return rows.groupBy("request_key").applyInPandasWithState(
-        run, f"request_id {id_type}, reused boolean", "stored long", "append", "NoTimeout"
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = log.withWatermark("ts", lateness).select("request_id", F.coalesce("request_key", F.lit("")).alias("request_key"), "ts", micros.alias("micros"))
+    return rows.groupBy("request_key").transformWithStateInPandas(
+        _Reuse(int(ttl * 1_000_000), id_type), f"request_id {id_type}, reused boolean", "Append", "EventTime"
+    )
+
+
+def closing_row(log: DataFrame, after: str) -> DataFrame:
+    """One row like those of `log`, `after` (an interval) later than all of them and otherwise empty."""
+    end = log.agg((F.max("ts") + F.expr(f"interval {after}")).alias("ts"))
+    kind = {f.name: f.dataType for f in log.schema.fields}
+    return end.select(*[F.col("ts").cast(kind[c]).alias(c) if c == "ts" else F.lit(None).cast(kind[c]).alias(c) for c in log.columns])
+
+
+def stateful(spark: SparkSession) -> None:
+    """Keeps stream state in RocksDB, off the heap and with timers."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
 
 

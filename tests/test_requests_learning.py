@@ -1,10 +1,14 @@
 import datetime as dt
+import math
 import random
+from dataclasses import replace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from relrank.operators import fingerprint, learning, requests
+from relrank.operators import boosting, fingerprint, learning, requests
+from relrank.operators.trees import Tree, TreeEnsemble, walk
 from relrank.session import scratch_path
 from relrank.sources import tables
 from relrank.streaming import signals
@@ -34,18 +38,39 @@ def test_reuse_agrees_with_brute_force(spark):
     assert got == want
 
 
-def test_stream_reuse_agrees_with_brute_force(spark):
-    """Also when the log arrives in several micro-batches, in time order."""
+def test_reuse_of_one_key_spreads_over_tasks(spark):
+    """A key with nearly all rows: its chain crosses ranges, and no operator gathers it."""
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.97 else f"k{i}", rng.randrange(400_000)) for i in range(6000)]
+    frame = log(spark, rows)
+    assert {r["request_id"]: r["reused"] for r in requests.reuse(frame, 300).collect()} == brute(rows, 300)
+    moments = frame.groupBy("request_key", F.unix_micros("ts").alias("micros")).agg(F.min("request_id"))
+    ranged = requests._successors(moments, 300_000_000)
+    assert ranged.where("request_key = 'hot'").count() > 5000
+    assert "Python" not in requests.reuse(frame, 300)._jdf.queryExecution().toString()
+    assert requests.reuse(frame.limit(0)).count() == 0
+
+
+def test_stream_reuse_equals_batch_and_forgets(spark):
+    """The log comes shuffled over micro-batches within the lateness; at the end no state is left."""
+    signals.stateful(spark)
     rng = random.Random(4)
-    rows = sorted(((rng.choice("aaab"), rng.randrange(3000)) for _ in range(300)), key=lambda x: x[1])
+    rows = [(rng.choice(["a", "a", "b", None]), rng.randrange(6000)) for _ in range(400)]
     folder = scratch_path(spark, "stream-reuse")
     df = log(spark, rows)
-    for part in range(3):
-        df.filter(F.col("request_id").between(part * 100, part * 100 + 99)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("request_id"), F.lit(600))
+    part = F.floor((arrival - F.unix_seconds(F.lit(T0))) / 1700)
+    for k in range(4):
+        df.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    signals.closing_row(df, "2 hours").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    signals.run_to_table(signals.stream_reuse(stream, 300), f"{folder}/out", f"{folder}/cp")
+    out = signals.stream_reuse(stream, 300, lateness="40 minutes")
+    signals.run_to_table(out, f"{folder}/out", f"{folder}/cp")
     got = {r["request_id"]: r["reused"] for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got == brute(rows, 300)
+    named = [("" if k is None else k, s) for k, s in rows]
+    assert got == brute(named, 300) == {r["request_id"]: r["reused"] for r in requests.reuse(df, 300).collect()}
+    state = spark.read.format("statestore").option("stateVarName", "stored").load(f"{folder}/cp")
+    assert state.count() == 0
 
 
 def test_a_hit_does_not_extend_the_ttl(spark):
@@ -146,23 +171,139 @@ def training(spark, n=30, per=12, offset=0):
     return spark.createDataFrame(rows, "query_id long, product_id long, relevance_score int, good double, noise double")
 
 
-def test_lambdamart_learns_the_order(spark):
-    train, held = training(spark), training(spark, offset=1000)
-    params = learning.LtrParams(rounds=4, learning_rate=0.5, max_depth=3, min_rows=5, checkpoint_every=2)
-    model = learning.fit_lambdamart(train, held, params)
-    assert 1 <= model.best_round <= 4
-    assert learning.mean_ndcg(model.transform(held)) > 0.9
-    top = model.importance(spark).first()
-    assert top["feature"] == "good"
+SMALL = boosting.RankParams(rounds=8, learning_rate=0.5, num_leaves=7, min_rows=5, subsample=1.0, columns=1.0, patience=4, max_bins=16)
+NAMES = ["good", "noise"]
+
+
+def brute_lambdas(rows, score, p):
+    """LambdaRank over all pairs of a query, with no discount below the top list."""
+    out = {}
+    for q in {r["query_id"] for r in rows}:
+        own = sorted((r for r in rows if r["query_id"] == q), key=lambda r: (-score[q, r["product_id"]], r["product_id"]))
+        ideal = sum((2**g - 1) / math.log2(k + 2) for k, g in enumerate(sorted((r["relevance_score"] for r in own), reverse=True)[: p.top]))
+        discount = [1 / math.log2(k + 2) if k < p.top else 0.0 for k in range(len(own))]
+        for a, x in enumerate(own):
+            g = h = 0.0
+            for b, y in enumerate(own):
+                if x["relevance_score"] != y["relevance_score"] and ideal:
+                    delta = abs(2 ** x["relevance_score"] - 2 ** y["relevance_score"]) * abs(discount[a] - discount[b]) / ideal
+                    side = 1 if x["relevance_score"] > y["relevance_score"] else -1
+                    rho = 1 / (1 + math.exp(side * (score[q, x["product_id"]] - score[q, y["product_id"]])))
+                    g, h = g + side * rho * delta, h + rho * (1 - rho) * delta
+            out[q, x["product_id"]] = g, h
+    return out
 
 
-def test_lambda_sums_cancel(spark):
-    """Every comparison moves one row up by what it moves the other down."""
-    rows = learning._training_rows(training(spark, 5, 30), ["good", "noise"], learning.LtrParams())
-    scored = rows.withColumn("score", F.pmod(F.xxhash64("product_id"), F.lit(7)) / 7.0)
-    out = learning.lambda_targets(scored, learning.LtrParams(top=5))
-    sums = out.groupBy("query_id").agg(F.abs(F.sum("gradient")).alias("s"), F.count("*").alias("n")).collect()
-    assert all(r["s"] < 1e-9 and r["n"] == 30 for r in sums)
+def brute_split(rows, part, found, edges, p):
+    """The best (gain, feature, edge) of a set of rows, by trying every edge."""
+    worth = lambda keys: sum(found[k][0] for k in keys) ** 2 / max(sum(found[k][1] for k in keys), 1e-12)
+    keys = [(r["query_id"], r["product_id"]) for r in part]
+    best = None
+    for f, name in enumerate(NAMES):
+        for e in edges[f]:
+            low = [k for k, r in zip(keys, part) if r[name] <= e]
+            high = [k for k, r in zip(keys, part) if r[name] > e]
+            if min(len(low), len(high)) >= p.min_rows and min(sum(found[k][1] for k in side) for side in (low, high)) >= p.min_curvature:
+                gain = worth(low) + worth(high) - worth(keys)
+                if gain > 1e-6 and (best is None or gain > best[0] + 1e-6):
+                    best = gain, f, e
+    return best
+
+
+@pytest.mark.parametrize("block", [boosting.BLOCK, 4])
+def test_first_tree_is_the_brute_force_one(spark, monkeypatch, block):
+    """Leaf by leaf, the leaf of the largest gain first; also with every query cut into pieces."""
+    monkeypatch.setattr(boosting, "BLOCK", block)
+    frame = training(spark, 15, 14)
+    rows = frame.collect()
+    p = replace(SMALL, rounds=1, learning_rate=1.0, top=5)
+    fit = boosting.RankerFit(frame, None, NAMES, [p])
+    assert fit.in_pieces[0] == (block == 4)
+    fit.grow(fit.settings, 1)
+    found = brute_lambdas(rows, {(r["query_id"], r["product_id"]): 0.0 for r in rows}, p)
+    leaves, splits = [rows], []
+    while len(leaves) < p.num_leaves:
+        options = [(brute_split(rows, part, found, fit.edges, p), part) for part in leaves]
+        options = [(s, part) for s, part in options if s]
+        if not options:
+            break
+        (gain, f, e), part = max(options, key=lambda o: o[0][0])
+        splits.append((f, e, round(gain, 4)))
+        leaves = [x for x in leaves if x is not part]
+        leaves += [[r for r in part if r[NAMES[f]] <= e], [r for r in part if r[NAMES[f]] > e]]
+    tree = fit.model(fit.settings[0]).trees[0]
+    got = sorted((int(f), float(c), round(float(g), 4)) for f, c, g in zip(tree.feature, tree.cut, tree.gain) if f >= 0)
+    assert got == sorted(splits) and len(splits) == 6
+    scored = {(r["query_id"], r["product_id"]): r["score"] for r in fit.model(fit.settings[0]).transform(frame).collect()}
+    for part in leaves:
+        keys = [(r["query_id"], r["product_id"]) for r in part]
+        step = sum(found[k][0] for k in keys) / sum(found[k][1] for k in keys)
+        assert all(abs(scored[k] - step) < 1e-5 for k in keys)
+
+
+def test_pieces_change_nothing(spark, monkeypatch):
+    """A query in pieces has the same gradients, trees and validation values as one that is whole."""
+    train, held = training(spark, 12, 30), training(spark, 8, 30, 500)
+    models = []
+    for block in (boosting.BLOCK, 7):
+        monkeypatch.setattr(boosting, "BLOCK", block)
+        fit = boosting.RankerFit(train, held, NAMES, [replace(SMALL, top=5, subsample=0.7), replace(SMALL, top=5, objective="pointwise")], every=2)
+        fit.grow(fit.settings, 5)
+        models.append(fit.settings)
+    for one, two in zip(*models):
+        assert len(one.trees) == len(two.trees) == 5 and np.allclose(one.ndcg, two.ndcg, atol=1e-9)
+        for a, b in zip(one.trees, two.trees):  # gradients are rounded piece by piece
+            assert a.feature.tolist() == b.feature.tolist() and a.cut.tolist() == b.cut.tolist() and np.allclose(a.value, b.value, atol=1e-5)
+
+
+def test_ranker_learns_the_order(spark):
+    train, held = training(spark), training(spark, offset=1000)
+    model = boosting.fit_ranker(train, held, SMALL, NAMES)
+    assert 1 <= model.best_round <= 8 and learning.mean_ndcg(model.transform(held)) > 0.9
+    assert learning.importance_rows(spark, NAMES, model.gains()).first()["feature"] == "good"
+    again = boosting.fit_ranker(train.repartition(3), held, SMALL, NAMES)
+    assert [t.value.tolist() for t in again.trees] == [t.value.tolist() for t in model.trees]
+
+
+def test_one_projection_scores_like_the_walk(spark):
+    """Hundreds of trees: the native expression, the node table read back, and numpy agree exactly."""
+    rng = np.random.default_rng(1)
+    trees = []
+    for _ in range(500):
+        n = 15
+        feature = np.where(np.arange(n) < 7, rng.integers(0, 2, n), -1)
+        left = np.where(feature >= 0, 2 * np.arange(n) + 1, 0)
+        trees.append(Tree(feature, rng.random(n), left, np.where(feature >= 0, left + 1, 0), rng.standard_normal(n), np.zeros(n)))
+    model = TreeEnsemble(NAMES, trees)
+    frame = training(spark, 10, 10)
+    rows = frame.select("query_id", "product_id", *NAMES).collect()
+    x = np.array([[r[c] for c in NAMES] for r in rows])
+    want = np.zeros(len(rows))
+    for t in trees:
+        want += t.value[walk(t, x)]
+    scored = model.transform(frame)
+    got = {(r["query_id"], r["product_id"]): r["score"] for r in scored.collect()}
+    assert [got[r["query_id"], r["product_id"]] for r in rows] == want.tolist()
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("Project") == 1
+    back = TreeEnsemble.from_nodes(model.nodes(spark), NAMES).transform(frame)
+    assert {(r["query_id"], r["product_id"]): r["score"] for r in back.collect()} == got
+    with pytest.raises(ValueError, match="another order"):
+        model.transform(frame.select("query_id", "noise", "good"))
+    with pytest.raises(ValueError, match="lacks"):
+        model.transform(frame.drop("noise"))
+
+
+def test_halving_search(spark):
+    train, held = training(spark, 20), training(spark, 15, offset=1000)
+    settings = [replace(SMALL, rounds=6, learning_rate=rate) for rate in (0.001, 0.3, 0.5, 0.002, 0.6)]
+    trials, model = boosting.halving_search(train, held, NAMES, settings, first=2)
+    assert [t.stopped_at for t in sorted(trials, key=lambda t: t.number)].count(0) == 1
+    assert sorted(t.stopped_at for t in trials) == [0, 1, 1, 1, 2] and trials[0].stopped_at == 0
+    assert abs(learning.mean_ndcg(model.transform(held)) - trials[0].ndcg) < 1e-9
+    table = learning.trial_table(spark, trials)
+    assert table.count() == 5 and {r["rounds"] for r in table.where("stopped_at = 1").collect()} == {2}
+    report = learning.training_report(learning.retrain(train, trials[0], NAMES), {"validation": held}).first()
+    assert report["best_round"] == trials[0].best_round and '"learning_rate"' in report["params"]
 
 
 def test_other_models(spark):
@@ -172,6 +313,6 @@ def test_other_models(spark):
     assert len(ranked) == train.count() and min(r["rank"] for r in ranked) == 1
     bad = train.withColumn("good", F.lit(float("nan")))
     with pytest.raises(ValueError, match="all_finite"):
-        learning.fit_pointwise(bad)
-    with pytest.raises(ValueError, match="labels"):
-        learning.fit_pointwise(train.withColumn("relevance_score", F.lit(5)))
+        learning.require_trainable(bad, NAMES)
+    with pytest.raises(ValueError, match="Grades"):
+        learning.require_trainable(train.withColumn("relevance_score", F.lit(5)), NAMES)
