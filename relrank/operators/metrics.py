@@ -137,16 +137,11 @@ def metric_columns(df: DataFrame) -> list[str]:
 
 
 def macro_average(per_group: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean of every metric over queries, with the number of queries."""
+    """Mean of every metric over queries, with the number of queries. Rankings that share no query with the truth leave
+    nothing to average: that is an error."""
+    n = F.count("*")
+    none = F.raise_error(F.lit("Rankings and ground truth share no query.")).cast("long")
     return per_group.groupBy(*(by or [])).agg(
-        F.count("*").alias("queries_evaluated"),
+        F.when(n > 0, n).otherwise(none).alias("queries_evaluated"),
         *[F.avg(c).alias(c) for c in metric_columns(per_group)],
     )
-
-
-def require_overlap(ranked: DataFrame, truth: DataFrame, key: str = "query_id") -> DataFrame:
-    """Rankings of judged queries only; none at all is an error."""
-    kept = ranked.join(truth.select(key).distinct(), key, "left_semi")
-    if kept.isEmpty():
-        raise ValueError("Rankings and ground truth share no query.")
-    return kept

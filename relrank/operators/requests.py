@@ -29,10 +29,9 @@ TTL_SECONDS = 300
 
 
 def explode_requests(nested: DataFrame) -> DataFrame:
-    """Nested requests to one row per candidate."""
-    return nested.select(
-        "request_id", "query", "top_k", F.posexplode("products").alias("position", "p")
-    ).select("request_id", "query", "top_k", "position", "p.*")
+    """Nested requests to one row per candidate; what else a request carries stays with it."""
+    held = [c for c in nested.columns if c != "products"]
+    return nested.select(*held, F.posexplode("products").alias("position", "p")).select(*held, "position", "p.*")
 
 
 def nested_rejects(nested: DataFrame) -> DataFrame:
@@ -257,13 +256,14 @@ def audit_rows(
 ) -> DataFrame:
     """One audit row per ranked request, in the audit schema. Latency is set by the caller."""
     sizes = candidates.groupBy("request_id").agg(F.count("*").alias("n"))
-    valid = headers.filter(~tx.is_blank(F.col("query"))).join(sizes, "request_id")
+    limit = _limit(headers, top_k)
+    valid = headers.filter(~tx.is_blank(F.col("query")) & (limit.isNull() | (limit > 0))).join(sizes, "request_id")
     created = F.col("ts") if "ts" in headers.columns else F.current_timestamp()
     values = {
         "request_id": F.col("request_id"),
         "query": F.col("query"),
         "candidate_count": F.col("n"),
-        "top_k": F.least(F.col("n"), _limit(headers, top_k)),
+        "top_k": F.least(F.col("n"), limit),
         "model_name": F.lit(model),
         "model_alias": F.lit(alias),
         "latency_ms": F.col("latency_ms") if "latency_ms" in headers.columns else F.lit(None),

@@ -207,7 +207,7 @@ def saved_tables(i: Inputs) -> DataFrame:
         "products": S.PRODUCT_COLUMNS,
         "judgments": JUDGMENT_COLUMNS,
         "conflict_audit": JUDGMENT_COLUMNS,
-        "product_vectors": ["product_id"],
+        "product_vectors": ["product_id", "vector"],
     }
     back = tables.read_tables(i.spark, folder, list(parts))
     return fingerprint.fingerprints({name: (df, columns[name]) for name, df in back.items()})
@@ -870,6 +870,24 @@ def request_rejects(i: Inputs) -> DataFrame:
     return requests.rejects(i.headers, i.candidates)
 
 
+def _nested(i: Inputs, how: str) -> DataFrame:
+    """Requests as they come in: one row each, with their products in order."""
+    entry = F.struct("position", *S.PRODUCT_COLUMNS)
+    products = i.candidates.groupBy("request_id").agg(F.array_sort(F.collect_list(entry)).alias("held"))
+    plain = F.transform("held", lambda p: F.struct(*[p[c].alias(c) for c in S.PRODUCT_COLUMNS]))
+    return i.headers.join(products, "request_id", how).withColumn("products", plain).drop("held")
+
+
+@query
+def rank_nested_requests(i: Inputs) -> DataFrame:
+    return requests.rank_requests(requests.explode_requests(_nested(i, "inner")), i.request_models)
+
+
+@query
+def nested_rejects(i: Inputs) -> DataFrame:
+    return requests.nested_rejects(_nested(i, "left"))
+
+
 @query
 def request_keys(i: Inputs) -> DataFrame:
     return requests.content_keys(i.headers, i.candidates)

@@ -336,11 +336,11 @@ CTE["model_ranked"] = "select *, " + ", ".join(
 ) + " from scored"
 
 CTE["requests"] = """
-select o_orderkey as request_id, o_orderdate as ts, query_id, query from orders
+select o_orderkey as request_id, o_orderdate as ts, query_id, query, [null, 0, 1, 3, 1000, null, 2][o_orderkey % 7 + 1]::int as top_k from orders
 left join raw_queries on query_id = o_custkey % (select count(*) from supplier)"""
 
 CTE["candidates"] = """
-select l_orderkey as request_id, ts, query_id, query, l_linenumber as position, p.* from lineitem
+select l_orderkey as request_id, ts, query_id, query, top_k, l_linenumber as position, p.* from lineitem
 join requests on request_id = l_orderkey left join raw_products p on product_id = l_partkey"""
 
 CTE["log"] = """
@@ -716,7 +716,7 @@ from asked_pairs a left join asked_tfidf q on q.query = a.query
 left join tfidf_p p on p.product_id = a.product_id and p.term = q.term group by all"""
 CTE["asked_side"] = CTE["query_side"].replace("query_id", "query").replace("from queries", "from asked")
 CTE["request_matrix"] = (
-    "select c.request_id, c.query, c.product_id, c.position, raw.product_name, b.bm25_score, t.tfidf_similarity, "
+    "select c.request_id, c.query, c.top_k, c.product_id, c.position, raw.product_name, b.bm25_score, t.tfidf_similarity, "
     + ", ".join(f"{COMPARED.get(n, 'p.' + n)} as {n}" for n in [*COMPARED, *PASSED])
     + ", case when qv.v is null or pv.v is null then 0.0::double else round(case when sqrt(list_inner_product(qv.v, qv.v)) * sqrt(list_inner_product(pv.v, pv.v)) = 0 then 0 "
     "else list_inner_product(qv.v, pv.v) / (sqrt(list_inner_product(qv.v, qv.v)) * sqrt(list_inner_product(pv.v, pv.v))) end, 9) end as semantic_similarity "
@@ -730,15 +730,28 @@ CTE["ranked_requests"] = f"""
 select request_id, query, product_id, product_name, score, rank from (
   select *, row_number() over (partition by request_id order by score desc, product_id, position) as rank from (
     select *, {blended()} as score
-    from request_matrix))"""
+    from request_matrix)) where top_k is null or rank <= top_k"""
 
 FRACTIONS = ("rating_count", "average_rating", "review_count")
+LISTS = ("v",)
 
 
 def encoded(columns: list[str]) -> str:
-    """Each value after its length, nulls as n; fractions to nine decimals."""
-    texts = [f"round({c}, 9)::decimal(38,9)::varchar" if c in FRACTIONS else f"{c}::varchar" for c in columns]
-    return " || ".join(f"coalesce(length({t}) || ':' || {t}, 'n')" for t in texts)
+    """Each value after its length, nulls as n; a fraction as nine decimals and what it lacks to them; a list after its
+    size."""
+
+    def fraction(c: str) -> str:
+        return f"(round({c}, 9)::decimal(38,9)::varchar || 'r' || round(({c} - round({c}, 9)) * 1e24)::decimal(38,0)::varchar)"
+
+    def field(t: str) -> str:
+        return f"coalesce(length({t}) || ':' || {t}, 'n')"
+
+    def one(c: str) -> str:
+        if c in LISTS:
+            return f"coalesce('[' || len({c}) || ':' || array_to_string(list_transform({c}, lambda e: {field(fraction('e'))}), ''), 'n')"
+        return field(fraction(c) if c in FRACTIONS else f"{c}::varchar")
+
+    return " || ".join(one(c) for c in columns)
 
 
 def lanes(digest: str, digits: int) -> str:
@@ -765,14 +778,31 @@ PRINTS = {
     "split": ("judged", ["query_id", "product_id", "relevance_score", "split"]),
 }
 CTE["prints"] = " union all ".join(print_row(n, t, c) for n, (t, c) in PRINTS.items())
-CTE["situations"] = f"""
-select 'same' as situation, 0 as stored_missing, 0 as inputs_differ, 0 as outputs_missing, 0 as outputs_differ
-union all select 'no_manifest', 1, 0, 0, 0
-union all select 'inputs_changed', 0, (a.content <> b.content)::int, 0, 0 from
-  ({print_row('queries', 'raw_queries', ['query_id'])}) a, (select * from prints where name = 'queries') b
-union all select 'output_missing', 0, 0, 1, 0
-union all select 'output_changed', 0, 0, 0, (a.content <> b.content)::int from
-  ({print_row('split', 'judged', ['query_id', 'product_id', 'split'])}) a, (select * from prints where name = 'split') b"""
+
+
+def _situation(name: str, stored_in: str, current_in: str, stored_out: str, current_out: str) -> str:
+    """What differs between stored and current prints (selects of name, row_count, content)."""
+
+    def both(a: str, b: str) -> str:
+        return f"(select s.name, s.row_count as sn, s.content as sc, c.row_count as cn, c.content as cc from ({a}) s full join ({b}) c on s.name = c.name)"
+
+    differ = "count(*) filter (sn is distinct from cn or sc is distinct from cc)"
+    return f"""select '{name}' as situation, (select count(*) = 0 from ({stored_in}))::int as stored_missing,
+      (select {differ} > 0 from {both(stored_in, current_in)})::int as inputs_differ,
+      (select count(*) filter (coalesce(cn, 0) = 0) > 0 from {both(stored_out, current_out)})::int as outputs_missing,
+      (select {differ} > 0 from {both(stored_out, current_out)})::int as outputs_differ"""
+
+
+_IN, _OUT = "select * from prints where name <> 'split'", "select * from prints where name = 'split'"
+_OTHER_IN = f"select * from prints where name not in ('split', 'queries') union all {print_row('queries', 'raw_queries', ['query_id'])}"
+_OTHER_OUT = print_row("split", "judged", ["query_id", "product_id", "split"])
+CTE["situations"] = " union all ".join([
+    _situation("same", _IN, _IN, _OUT, _OUT),
+    _situation("no_manifest", _IN + " and false", _IN, _OUT + " and false", _OUT),
+    _situation("inputs_changed", _IN, _OTHER_IN, _OUT, _OUT),
+    _situation("output_missing", _IN, _IN, _OUT, _OUT + " and false"),
+    _situation("output_changed", _IN, _IN, _OUT, _OTHER_OUT),
+])
 
 
 LATENCY = """count(*) as requests, count(*) filter (status = 200) as successful,
@@ -813,7 +843,7 @@ def _bodies() -> dict[str, str]:
             ("products", "products", S.PRODUCT_COLUMNS),
             ("judgments", "resolved", judged),
             ("conflict_audit", "resolved where contains(original_labels, '|')", judged),
-            ("product_vectors", "product_vectors", ["product_id"]),
+            ("product_vectors", "product_vectors", ["product_id", "v"]),
         )
     )
     q["saved_splits"] = "select split, relevance_score, count(*) as judgments from judged group by all"
@@ -1066,9 +1096,12 @@ def _bodies() -> dict[str, str]:
     q["ranking_responses"] = """select request_id, query, string_agg(concat_ws('=', product_id::varchar, product_name), ',' order by rank) as results,
       round(sum(score), 5) as score_sum
       from ranked_requests group by request_id, query"""
-    q["request_rejects"] = f"""select request_id, case when {blank('query')} then 'empty_query' else 'no_products' end as reason
-      from requests where {blank('query')} or request_id not in (select request_id from candidates)"""
-    q["request_keys"] = """select request_id, 'ranking:relrank:champion:' || sha256(concat_ws('|',
+    q["request_rejects"] = f"""select request_id, case when {blank('query')} then 'empty_query'
+      when request_id not in (select request_id from candidates) then 'no_products' else 'top_k_not_positive' end as reason
+      from requests where {blank('query')} or request_id not in (select request_id from candidates) or top_k <= 0"""
+    q["nested_rejects"] = q["request_rejects"]
+    q["rank_nested_requests"] = q["rank_requests"]
+    q["request_keys"] = """select request_id, 'ranking:relrank:champion:' || sha256(concat_ws('|', top_k::varchar,
       coalesce(n, 0)::varchar, coalesce(content, ''), coalesce(query, ''))) as content_key
       from requests left join (select request_id, count(*) as n, """ + lanes("h", 64) + """ as content
       from request_content group by request_id) using (request_id)"""
@@ -1076,11 +1109,11 @@ def _bodies() -> dict[str, str]:
       select c.request_key, c.ts, min(k.request_id) as first_id from chain c join log k on k.request_key = c.request_key
         and k.ts = c.ts group by all) s on s.request_key = l.request_key and s.ts = l.ts"""
     q["request_audit"] = """select request_id::varchar as request_id, query, n::int as candidate_count,
-      n::int as top_k, 'relrank' as model_name, 'champion' as model_alias, null::double as latency_ms,
+      least(n, top_k)::int as top_k, 'relrank' as model_name, 'champion' as model_alias, null::double as latency_ms,
       ts as created_at from requests join (select request_id, count(*) as n from candidates group by request_id)
-      using (request_id) where not (""" + blank("query") + ")"
+      using (request_id) where coalesce(top_k, 1) > 0 and not (""" + blank("query") + ")"
     q["saved_audit"] = """select query, count(distinct request_id) as requests, count(*) as candidates from candidates
-      group by query"""
+      where coalesce(top_k, 1) > 0 group by query"""
     q["latency_report"] = f"select {LATENCY}"
     q["latency_by_user_action"] = (
         f"select split_part(request_key, ':', 2) as action, {LATENCY} group by action"

@@ -97,9 +97,13 @@ def list_ndcg(scored: DataFrame, models: tuple[str, ...], keys: list[str]) -> Da
 
 
 def model_ranks(scored: DataFrame, models: tuple[str, ...]) -> DataFrame:
-    """Every model's full rank of every pair; ties go to the smaller id."""
-    orders = {f"{m}_rank": ranking.by_score(f"{m}_score") for m in models}
-    return ranking.full_ranks(scored, ["query_id"], orders)
+    """Every model's full rank of every pair; ties go to the smaller id. All models are sorted at once, as narrow rows."""
+    entries = [F.struct(F.lit(k).alias("model"), F.col(f"{m}_score").alias("score")) for k, m in enumerate(models)]
+    narrow = scored.select("query_id", "product_id", F.explode(F.array(*entries)).alias("s")).select("query_id", "product_id", "s.*")
+    ranked = ranking.full_rank(narrow, ["query_id", "model"], ranking.by_score())
+    ranks = {f"{m}_rank": F.max(F.when(F.col("model") == k, F.col("rank"))) for k, m in enumerate(models)}
+    wide = ranked.groupBy("query_id", "product_id").agg(*[r.alias(name) for name, r in ranks.items()])
+    return scored.join(wide, ["query_id", "product_id"]).select(*scored.columns, *ranks)
 
 
 def query_report(scored: DataFrame, queries: DataFrame, models: Models | None = None) -> DataFrame:

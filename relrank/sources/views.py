@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+TOP_KS = (None, 0, 1, 3, 1000, None, 2)
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
@@ -135,9 +137,11 @@ def request_headers(spark: SparkSession, path: str) -> DataFrame:
             F.col("o_orderkey").alias("request_id"),
             F.col("o_orderdate").alias("ts"),
             (F.col("o_custkey") % _size(suppliers)).alias("query_id"),
+            # Every kind of wish: none, nothing, one, few, more than there are.
+            F.get(F.array(*[F.lit(k).cast("int") for k in TOP_KS]), (F.col("o_orderkey") % len(TOP_KS)).cast("int")).alias("top_k"),
         )
         .join(queries, "query_id", "left")
-        .select("request_id", "ts", "query_id", "query")
+        .select("request_id", "ts", "query_id", "query", "top_k")
     )
 
 
