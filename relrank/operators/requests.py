@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -112,7 +112,7 @@ def score_candidates(candidates: DataFrame, models: RequestModels) -> DataFrame:
         "product_name", F.map_from_entries("entries").alias("tfidf_document")
     )
     weighted = lexical.with_bm25_document(rows, bm25)
-    kept = [c for c in ("request_id", "query", "top_k", "position", "product_name") if c in rows.columns]
+    kept = [c for c in ("request_id", "ts", "query", "top_k", "position", "product_name") if c in rows.columns]
     profile = features.product_profile(weighted, [*kept, "bm25_document", "semantic_similarity"])
     joined = profile.join(query_side, "query", "left").join(weights, "product_name", "left")
     scored = joined.withColumns(features.intersections()).withColumns(
@@ -252,7 +252,7 @@ def audit_rows(
     candidates: DataFrame,
     top_k: int | None = None,
     model: str = MODEL_NAME,
-    alias: str = MODEL_ALIAS,
+    alias: str | Column = MODEL_ALIAS,
 ) -> DataFrame:
     """One audit row per ranked request, in the audit schema. Latency is set by the caller."""
     sizes = candidates.groupBy("request_id").agg(F.count("*").alias("n"))
@@ -265,7 +265,7 @@ def audit_rows(
         "candidate_count": F.col("n"),
         "top_k": F.least(F.col("n"), limit),
         "model_name": F.lit(model),
-        "model_alias": F.lit(alias),
+        "model_alias": alias if isinstance(alias, Column) else F.lit(alias),
         "latency_ms": F.col("latency_ms") if "latency_ms" in headers.columns else F.lit(None),
         "created_at": created,
     }

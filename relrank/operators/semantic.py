@@ -6,8 +6,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,38 +59,50 @@ def similarity_stats(pairs: DataFrame) -> DataFrame:
     )
 
 
-def fit_text_encoder(
-    texts: DataFrame, text: str = "text", dimensions: int = 64, seed: int = 42, partitions: int = 1
-) -> Word2VecModel:
-    """Default encoder: Word2Vec over the given texts, averaged per text at transform time."""
-    tokens = texts.select(tx.words(F.col(text)).alias("tokens"))
-    return Word2Vec(
-        vectorSize=dimensions,
-        minCount=1,
-        seed=seed,
-        numPartitions=partitions,
-        inputCol="tokens",
-        outputCol="encoded",
-    ).fit(tokens)
-
-
-def encode_text(texts: DataFrame, key: str, model: Word2VecModel, text: str = "text") -> DataFrame:
-    """`(key, vector)` of unit length; a text without known words keeps the zero vector."""
-    tokens = texts.select(key, tx.words(F.col(text)).alias("tokens"))
-    raw = vector_to_array(F.col("encoded"))
-    length = F.col("length")
-    return (
-        model.transform(tokens)
-        .select(key, raw.alias("raw"))
-        .withColumn("length", V.norm(F.col("raw")))
-        .select(
-            key,
-            F.when(length == 0, F.col("raw"))
-            .otherwise(F.transform("raw", lambda x: x / F.nullif(length, F.lit(0.0))))
-            .alias("vector"),
-        )
+DIMENSIONS = 384
+IDF_UNITS = 1_000_000
+
+
+def _hashed_grams(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """`(key, gram, n)`: words and word pairs of each text, and how often they occur in it."""
+    grams = texts.select(key, F.explode(tx.counts(tx.word_grams(F.col(text)))).alias("t"))
+    return grams.select(key, F.col("t.term").alias("gram"), F.col("t.weight").cast("long").alias("n"))
+
+
+def fit_text_encoder(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """`(gram, weight)`: inverse document frequencies of words and word pairs, in whole millionths, as a written table.
+
+    Counted by Spark and kept as rows: nothing is gathered, whatever the size of the vocabulary. `key` is unique.
+    """
+    grams = _hashed_grams(texts, key, text).groupBy("gram").agg(F.count("*").alias("df"))
+    total = texts.agg(F.count("*").alias("total")).scalar()
+    idf = F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0
+    return materialize(grams.select("gram", F.round(idf * IDF_UNITS).cast("long").alias("weight")), "encoder-weights")
+
+
+def encode_text(texts: DataFrame, key: str, weights: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
+    """`(key, vector)` of unit length by signed feature hashing: a gram adds its weighted count, plus or minus, to one of
+    the dimensions. Grams that the fit has not seen count for nothing; a text without known ones has the zero vector.
+
+    Weights are whole numbers, so a component does not depend on the order of addition.
+    """
+    digest = F.md5("gram")
+    place = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1)).otherwise(F.lit(-1))
+    placed = weights.select("gram", place.alias("place"), (sign * F.col("weight")).alias("weight"))
+    rows = _hashed_grams(texts, key, text).join(placed, "gram")
+    sums = rows.groupBy(key, "place").agg(F.sum(F.col("n") * F.col("weight")).alias("units"))
+    held = sums.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("place", "units"))).alias("held"),
+        F.sqrt(F.sum(F.pow(F.col("units").cast("double"), F.lit(2.0)))).alias("length"),
     )
 
+    def component(d: Column) -> Column:
+        return score(F.coalesce(F.try_element_at("held", d), F.lit(0)) / F.nullif(F.col("length"), F.lit(0.0)))
+
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.coalesce(component(d), F.lit(0.0)))
+    return texts.select(key).join(held, key, "left").select(key, filled.alias("vector"))
+
 
 def encode_with(
     texts: DataFrame,

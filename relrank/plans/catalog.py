@@ -947,51 +947,59 @@ def request_shape(i: Inputs) -> DataFrame:
 # Streams ------------------------------------------------------------------------------
 
 
-def _stream_of(i: Inputs, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The rows of a table as a file stream."""
+def _out_of_order(i: Inputs, name: str, closed: bool = False) -> tuple[DataFrame, str]:
+    """The log in four files, one per micro-batch, by time of arrival."""
     folder = scratch_path(i.spark, name)
-    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
-    df.write.parquet(f"{folder}/in")
-    return i.spark.readStream.schema(df.schema).parquet(f"{folder}/in"), folder
+    log = i.log.withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("request_id"), F.lit(DAY * 1_000_000))
+    ends = log.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high")).first()
+    width = ((ends["high"] or 0) - (ends["low"] or 0)) // 4 + 1
+    part = F.floor((arrival - F.lit(ends["low"] or 0)) / width)
+    for k in range(4):
+        log.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    if closed:
+        signals.closing_row(log, "10 days").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return i.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in"), folder
 
 
 @query
 def stream_signals(i: Inputs) -> DataFrame:
-    """Windows as a stream. The log is not in time order, so no row counts as late."""
-    stream, folder = _stream_of(i, i.log, "signals")
-    out = signals.windowed_signals(stream, lateness="36500 days")
-    signals.run_updates(out, f"{folder}/out", f"{folder}/checkpoint")
-    return signals.latest(i.spark.read.parquet(f"{folder}/out"), ["window_start"])
+    """Windows of a stream whose requests arrive up to a day out of order: most come late and correct their window."""
+    stream, folder = _out_of_order(i, "signals")
+    signals.run_signals(stream, f"{folder}/out", f"{folder}/checkpoint", lateness="1 hour")
+    return signals.corrected(i.spark, f"{folder}/out").drop("late_requests")
 
 
 @query
 def stream_reuse(i: Inputs) -> DataFrame:
-    """The log in four parts, in which requests arrive up to a day out of order, and the row that ends the stream."""
+    """Reuse in a stream whose requests arrive up to a day out of order; the last row only ends the stream."""
     signals.stateful(i.spark)
-    folder = scratch_path(i.spark, "reuse")
-    log = i.log.withColumn("ts", F.col("ts").cast("timestamp"))
-    arrival = F.unix_micros("ts") + F.pmod(F.xxhash64("request_id"), F.lit(DAY * 1_000_000))
-    ends = log.agg(F.min(arrival).alias("low"), F.max(arrival).alias("high")).first()
-    width = ((ends["high"] or 0) - (ends["low"] or 0)) // 4 + 1
-    part = F.floor((arrival - F.lit(ends["low"] or 0)) / width)
-    for k in range(4):
-        log.where(part == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    signals.closing_row(log, "10 days").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = i.spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream, folder = _out_of_order(i, "reuse", closed=True)
     out = signals.stream_reuse(stream, DAY, lateness="2 days")
     signals.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
     return i.spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
+CHANGED = {"bm25_score": 0.1, "tfidf_similarity": 1.0, "token_overlap": 2.0, "semantic_similarity": 0.5}
+
+
 @query
 def stream_rank(i: Inputs) -> DataFrame:
-    fields = ["position", *S.PRODUCT_COLUMNS]
-    products = i.candidates.groupBy("request_id").agg(F.collect_list(F.struct(*fields)).alias("products"))
-    stream, folder = _stream_of(i, i.headers.join(products, "request_id"), "rank")
-    stream_ranking.rank_stream(
-        stream, i.request_models, f"{folder}/ranked", f"{folder}/audit", f"{folder}/checkpoint"
-    )
-    return i.spark.read.parquet(f"{folder}/ranked").drop("batch")
+    """A stream of nested requests in three micro-batches. In the middle of their time the model changes."""
+    folder = scratch_path(i.spark, "rank")
+    nested = _nested(i, "inner").withColumn("ts", F.col("ts").cast("timestamp"))
+    times = i.headers.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("low"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("high")).first()
+    middle = ((times["low"] or 0) + (times["high"] or 0)) // 2
+    stream_ranking.publish(i.spark, f"{folder}/models", 1, times["low"] or 0, scoring.BLEND)
+    stream_ranking.publish(i.spark, f"{folder}/models", 2, middle, CHANGED)
+    for k in range(3):
+        nested.where(F.pmod("request_id", F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{folder}/in/part={k}")
+    stream = i.spark.readStream.schema(nested.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/part=*")
+    stream_ranking.rank_stream(stream, i.request_models, f"{folder}/out", f"{folder}/checkpoint", f"{folder}/models")
+    ranked = stream_ranking.read_batches(i.spark, f"{folder}/out", "ranked")
+    audit = stream_ranking.read_batches(i.spark, f"{folder}/out", "audit")
+    versions = audit.select(F.col("request_id").cast("long").alias("request_id"), F.col("model_alias").alias("model"))
+    return ranked.join(versions, "request_id").drop("batch")
 
 
 # Reproducibility ----------------------------------------------------------------------
@@ -1145,6 +1153,8 @@ def ensemble_scores(i: Inputs) -> DataFrame:
 
 @query
 def encode_text(i: Inputs) -> DataFrame:
-    model = semantic.fit_text_encoder(i.products, "product_name", dimensions=16)
-    names = semantic.encode_text(i.products, "product_id", model, "product_name")
-    return names.select("product_id", F.size("vector").alias("dimensions"))
+    """Vectors of all product names: the components that are not zero."""
+    weights = semantic.fit_text_encoder(i.products, "product_id", "product_name")
+    names = semantic.encode_text(i.products, "product_id", weights, "product_name")
+    parts = names.select("product_id", F.posexplode("vector").alias("dimension", "value"))
+    return parts.where("value <> 0")

@@ -299,10 +299,10 @@ join tfidf t using (query_id, product_id) join semantic s using (query_id, produ
 
 
 
-def blended(prefix: str = "") -> str:
-    """The blend in whole units of its tenth digit, rounded to nine."""
+def blended(prefix: str = "", weights: tuple[int, ...] = (1, 10, 10, 10)) -> str:
+    """The blend in whole units of its tenth digit, rounded to nine; weights in tenths."""
     units = {c: f"round({prefix}{c} * 1e9)::bigint" for c in ("bm25_score", "tfidf_similarity", "token_overlap", "semantic_similarity")}
-    total = " + ".join(f"{weight} * {units[c]}" for c, weight in zip(units, (1, 10, 10, 10)))
+    total = " + ".join(f"{weight} * {units[c]}" for c, weight in zip(units, weights))
     return f"round(({total})::double / 1e1) / 1e9"
 
 
@@ -1089,7 +1089,14 @@ def _bodies() -> dict[str, str]:
     q["compact_report"] = f"select name, round(value, 6) as value from ({COMPACT})"
     # requests and logs
     q["rank_requests"] = "select * from ranked_requests"
-    q["stream_rank"] = q["rank_requests"]
+    # The second model counts from the middle of the requests' time.
+    changed = "epoch_us(ts) >= (select (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 from requests)"
+    q["stream_rank"] = f"""select request_id, query, product_id, product_name, score, rank, model from (
+      select *, row_number() over (partition by request_id order by score desc, product_id, position) as rank from (
+        select m.*, case when {changed} then {blended('m.', (1, 10, 20, 5))} else {blended('m.')} end as score,
+          case when {changed} then 'v2' else 'v1' end as model from request_matrix m join requests r using (request_id)
+        where coalesce(m.top_k, 1) > 0))
+      where top_k is null or rank <= top_k"""
     q["request_features"] = "select query, count(*) as candidates, " + ", ".join(
         f"round(avg({c}), 5) as {c}" for c in S.MODEL_FEATURES
     ) + " from request_matrix group by query"
@@ -1129,6 +1136,16 @@ def _bodies() -> dict[str, str]:
       len({tokens('query')})::int as query_length, count(*) as requests, round(avg(n), 6) as mean_candidates,
       min(n) as min_candidates, max(n) as max_candidates from (select ts, query, coalesce(n, 0) as n from requests
       left join (select request_id, count(*) as n from candidates group by request_id) using (request_id)) group by all"""
+    q["encode_text"] = f"""select product_id, place::int as dimension, value from (
+      select product_id, place, round(units / sqrt(sum(units::double * units) over (partition by product_id)), 9) as value from (
+        select product_id, place, sum(n * weight)::bigint as units from (
+          select product_id, gram, count(*) as n from (select product_id, unnest({grams('product_name')}) as gram from products)
+          group by all)
+        join (select gram, ('0x' || substr(md5(gram), 1, 8))::bigint % 384 as place,
+          case when ('0x' || substr(md5(gram), 9, 1))::int % 2 = 0 then 1 else -1 end
+            * round((ln((1.0::double + (select count(*) from products)) / (1 + count(distinct product_id))) + 1) * 1e6)::bigint as weight
+          from (select product_id, unnest({grams('product_name')}) as gram from products) group by gram) using (gram)
+        group by product_id, place)) where value <> 0"""
     # A stump per feature: its training mean at four digits, and the mean gain on either side as values.
     gains = "(pow(2, relevance_score) - 1)"
     cuts = ", ".join(f"round(avg({c}), 4) as cut_{c}" for c in S.MODEL_FEATURES)

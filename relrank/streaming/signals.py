@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from relrank.functions import text as tx
@@ -39,6 +40,64 @@ def windowed_signals(log: DataFrame, width: str = "1 hour", lateness: str = "10
     return _signals(log.withWatermark("ts", lateness) if log.isStreaming else log, width)
 
 
+def _partials(log: DataFrame, width: str) -> DataFrame:
+    """Sums of a set of rows per window, which add up with those of other rows."""
+    return log.groupBy(F.window("ts", width).start.alias("window_start")).agg(
+        F.count("*").alias("requests"), F.count_if(F.col("status") != 200).alias("failures"), F.sum("latency_ms").alias("latency"),
+        F.count("latency_ms").alias("timed"), F.max("latency_ms").alias("max_ms"),
+    )
+
+
+def run_signals(log: DataFrame, path: str, checkpoint: str, width: str = "1 hour", lateness: str = "10 minutes") -> None:
+    """Windows of a stream as tables below `path`, corrected by late rows. No state is kept between micro-batches.
+
+    Each micro-batch writes sums per window that add up with those of others: of rows whose window was open to `windows`,
+    of later ones to `corrections`, and the late rows themselves to `late`. A window is closed by the watermark: the
+    latest time of the micro-batches before, less the lateness; those times are kept with the batches. A micro-batch
+    overwrites its own folders, so one that runs again leaves nothing twice. `corrected` reads the result.
+    """
+    spark = log.sparkSession
+    state = T.StructType([T.StructField("batch", T.LongType()), T.StructField("latest", T.TimestampType())])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        folder = f"{path}/latest"
+        seen = _existing(spark, folder, state)
+        mark = seen.where(F.col("batch") < number).agg((F.max("latest") - F.expr(f"interval {lateness}")).alias("mark")).first()["mark"]
+        ends = F.window("ts", width).end
+        late = F.lit(False) if mark is None else ends <= F.lit(mark)
+        parts = {"late": batch.where(late), "corrections": _partials(batch.where(late), width), "windows": _partials(batch.where(~late), width)}
+        for name, rows in parts.items():
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        latest = batch.agg(F.lit(number).cast("long").alias("batch"), F.max("ts").alias("latest"))
+        latest.write.mode("overwrite").parquet(f"{folder}/part={number}")
+        batch.unpersist()
+
+    query = log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def _existing(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """The table below a folder, empty before anything is written to it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def corrected(spark: SparkSession, path: str) -> DataFrame:
+    """The windows of `run_signals` in the form of `windowed_signals`, with how many of their rows were late."""
+    rows = spark.read.parquet(f"{path}/windows").withColumn("late", F.lit(0).cast("long"))
+    late = spark.read.parquet(f"{path}/corrections").withColumn("late", F.col("requests"))
+    sums = rows.unionByName(late).groupBy("window_start").agg(
+        *[F.sum(c).alias(c) for c in ("requests", "failures", "latency", "timed", "late")], F.max("max_ms").alias("max_ms")
+    )
+    return sums.select(
+        "window_start", "requests", "failures", F.round(F.col("failures") / F.col("requests"), 6).alias("error_rate"),
+        F.round(F.col("latency") / F.nullif(F.col("timed"), F.lit(0)), 6).alias("mean_ms"), "max_ms", F.col("late").alias("late_requests"),
+    )
+
+
 def request_shape(requests: DataFrame, width: str = "1 day", lateness: str = "1 hour") -> DataFrame:
     """Query-length and candidate-count distribution per window; batch or stream.
 

@@ -1,16 +1,20 @@
 import datetime as dt
+import hashlib
 import math
 import random
+import re
 from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from relrank.operators import boosting, fingerprint, learning, requests
+from relrank.operators import boosting, fingerprint, learning, metrics, requests, semantic
 from relrank.operators.trees import Tree, TreeEnsemble, walk
 from relrank.session import scratch_path
 from relrank.sources import tables
+from relrank.streaming import ranking as stream_ranking
 from relrank.streaming import signals
 
 T0 = dt.datetime(2024, 1, 1)
@@ -136,6 +140,90 @@ def test_fingerprint_ignores_row_order_and_sees_changes(spark):
     assert one != fingerprint.fingerprint(df.limit(1), "t", ["id", "t"]).first()
 
 
+def test_fingerprints_are_exact(spark):
+    """Each single change is seen: small fractions, neighbouring doubles, and where an array's elements end."""
+
+    def content(value, kind):
+        return fingerprint.fingerprint(spark.createDataFrame([(value,)], f"x {kind}"), "t", ["x"]).first()["content"]
+
+    fractions = [1e-10, 4e-10, 0.1, float(np.nextafter(0.1, 1)), 5.25, float(np.nextafter(5.25, 9)), -5.25, 0.0, 1e9 + 0.5, float("nan"), float("inf"), float("-inf"), 1e30, None]
+    assert len({content(x, "double") for x in fractions}) == len(fractions)
+    arrays = [["a, b"], ["a", "b"], ["a", None], ["a", "n"], [], None, ["a,b"], ["1:a"], ["a", ""], [""]]
+    assert len({content(x, "array<string>") for x in arrays}) == len(arrays)
+    vectors = [[0.1, 0.2], [0.2, 0.1], [0.1], [0.1, None], [0.1, float(np.nextafter(0.2, 1))]]
+    assert len({content(x, "array<double>") for x in vectors}) == len(vectors)
+
+
+def test_rankings_without_judged_queries_are_an_error(spark):
+    ranked = spark.createDataFrame([(1, 1, 2)], "query_id long, rank int, relevance_score int")
+    truth = spark.createDataFrame([(2, 1)], "query_id long, relevance_score int")
+    per_query = metrics.evaluate_groups(ranked, "candidates", (10,), truth=truth)
+    with pytest.raises(Exception, match="share no query"):
+        metrics.macro_average(per_query).collect()
+
+
+def test_encoder_against_brute_force(spark):
+    texts = ["Oak desk, oak table", "desk lamp", None, "", "unseen words", "x"]
+    fitted = spark.createDataFrame(list(enumerate(texts[:4])), "id long, text string")
+    every = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    weights = semantic.fit_text_encoder(fitted, "id")
+    got = {r["id"]: r["vector"] for r in semantic.encode_text(every, "id", weights, dimensions=32).collect()}
+
+    def grams(t):
+        w = re.findall(r"\w{2,}", (t or "").lower())
+        return w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+
+    df = {g: sum(g in grams(t) for t in texts[:4]) for t in texts[:4] for g in grams(t)}
+    for i, t in enumerate(texts):
+        want = [0.0] * 32
+        for g in grams(t):
+            if g in df:
+                h = hashlib.md5(g.encode()).hexdigest()
+                want[int(h[:8], 16) % 32] += (1 if int(h[8], 16) % 2 == 0 else -1) * round((math.log(5 / (1 + df[g])) + 1) * 1e6)
+        length = math.sqrt(sum(x * x for x in want))
+        assert np.allclose(got[i], [x / length if length else 0.0 for x in want], atol=1e-8)
+
+
+def test_late_rows_correct_their_window(spark):
+    folder = scratch_path(spark, "late")
+    rows = [(i, T0 + dt.timedelta(minutes=m), 500 if i % 4 == 0 else 200, float(i)) for i, m in enumerate([5, 20, 70, 200, 30, 250, 10, 65, 400, 390])]
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp, status int, latency_ms double")
+    for part in range(5):
+        df.where(F.floor(F.col("request_id") / 2) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    signals.run_signals(stream, f"{folder}/out", f"{folder}/cp", lateness="30 minutes")
+    got = {r["window_start"]: r.asDict() for r in signals.corrected(spark, f"{folder}/out").collect()}
+    late = {w: r.pop("late_requests") for w, r in got.items()}
+    assert got == {r["window_start"]: r.asDict() for r in signals.windowed_signals(df).collect()}
+    # 30 comes after 200, and 10 and 65 after 250.
+    assert sorted(r["request_id"] for r in spark.read.parquet(f"{folder}/out/late").collect()) == [4, 6, 7]
+    assert {w.hour: n for w, n in late.items() if n} == {T0.hour: 2, T0.hour + 1: 1}
+
+
+def test_stream_ranks_by_the_model_of_the_time(spark):
+    folder = scratch_path(spark, "versions")
+    products = [(1, "oak desk"), (2, "lamp"), (3, "oak desk lamp")]
+    base = spark.createDataFrame([(f"r{i}", T0 + dt.timedelta(hours=i), "oak desk", k, [(a, b, *[None] * 7) for a, b in products]) for i, k in enumerate([None, 2, 0, None])],
+        T.StructType([requests.S.REQUEST_SCHEMA["request_id"], T.StructField("ts", T.TimestampType()), *requests.S.REQUEST_SCHEMA.fields[1:]]))
+    micros = [r["m"] for r in base.select(F.unix_micros("ts").alias("m")).orderBy("m").collect()]
+    stream_ranking.publish(spark, f"{folder}/models", 1, micros[0], {"token_overlap": 1.0})
+    stream_ranking.publish(spark, f"{folder}/models", 2, micros[1], {"token_overlap": -1.0})
+    for i in range(4):
+        base.where(F.col("request_id") == f"r{i}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    corpus = spark.createDataFrame(products, "product_id long, product_name string")
+    stream_ranking.rank_stream(stream, requests.fit_models(corpus), f"{folder}/out", f"{folder}/cp", f"{folder}/models")
+    ranked = stream_ranking.read_batches(spark, f"{folder}/out", "ranked")
+    first = {r["request_id"]: r["product_id"] for r in ranked.where("rank = 1").collect()}
+    assert first["r0"] == 1 and first["r1"] == first["r3"] == 2 and "r2" not in first
+    assert ranked.where("request_id = 'r1'").count() == 2
+    audit = {r["request_id"]: (r["model_alias"], r["top_k"]) for r in stream_ranking.read_batches(spark, f"{folder}/out", "audit").collect()}
+    assert audit == {"r0": ("v1", 3), "r1": ("v2", 2), "r3": ("v2", 3)}
+    # A batch that broke off before its manifest entry is not read.
+    ranked.drop("batch").write.parquet(f"{folder}/out/ranked/batch=99")
+    assert stream_ranking.read_batches(spark, f"{folder}/out", "ranked").count() == ranked.count() == 8
+
+
 def test_raw_files_and_audit_round_trip(spark):
     folder = scratch_path(spark, "test")
     queries = spark.createDataFrame([(1, 'a "b"\tc', None)], "query_id long, query string, query_class string")
