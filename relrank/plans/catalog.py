@@ -1063,7 +1063,7 @@ def _kept(i: Inputs, name: str, build: Callable[[], object]) -> object:
     return _KEPT[key]
 
 
-def _learning_frames(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+def training_frames(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Feature matrix per split, written once: training reads it many times."""
 
     def build() -> str:
@@ -1078,7 +1078,7 @@ def _learning_frames(i: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _fitted(i: Inputs, params: boosting.RankParams) -> tuple[TreeEnsemble, DataFrame]:
     """A ranker with all its rounds, and the test frame."""
-    train, validation, test = _learning_frames(i)
+    train, validation, test = training_frames(i)
     names = learning.feature_names(train)
 
     def build() -> TreeEnsemble:
@@ -1102,7 +1102,7 @@ def ltr_pointwise(i: Inputs) -> DataFrame:
 
 @query
 def multiclass_rank(i: Inputs) -> DataFrame:
-    train, _, test = _learning_frames(i)
+    train, _, test = training_frames(i)
     model = learning.fit_multiclass(train)
     return learning.rank_scored(model.transform(test))
 
@@ -1114,7 +1114,7 @@ def feature_importance(i: Inputs) -> DataFrame:
 
 
 def _search(i: Inputs, objective: str) -> list[boosting.Trial]:
-    train, validation, _ = _learning_frames(i)
+    train, validation, _ = training_frames(i)
     settings = [replace(p, objective=objective) for p in boosting.drawn_settings()]
     names = learning.feature_names(train)
     return _kept(i, f"search {objective}", lambda: boosting.halving_search(train, validation, names, settings)[0])
@@ -1135,7 +1135,7 @@ def ranker_search(i: Inputs) -> DataFrame:
 @query
 def training_report(i: Inputs) -> DataFrame:
     """The best setting of the search, fitted anew for the rounds that suited it, with its parameters."""
-    train, validation, test = _learning_frames(i)
+    train, validation, test = training_frames(i)
     model = learning.retrain(train, _search(i, "lambdarank")[0])
     return learning.training_report(model, {"validation": validation, "test": test})
 
@@ -1144,7 +1144,7 @@ def training_report(i: Inputs) -> DataFrame:
 def ensemble_scores(i: Inputs) -> DataFrame:
     """Test pairs scored by a node table: one stump per feature, cut at the training mean, with the mean gain on either
     side as its values."""
-    train, _, test = _learning_frames(i)
+    train, _, test = training_frames(i)
     names = S.MODEL_FEATURES
     model = TreeEnsemble.from_nodes(learning.stumps(train, names), names)
     scored = model.transform(test.select("query_id", "product_id", *names))
