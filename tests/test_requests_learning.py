@@ -298,10 +298,12 @@ def brute_split(rows, part, found, edges, p):
     return best
 
 
-@pytest.mark.parametrize("block", [boosting.BLOCK, 4])
-def test_first_tree_is_the_brute_force_one(spark, monkeypatch, block):
-    """Leaf by leaf, the leaf of the largest gain first; also with every query cut into pieces."""
+@pytest.mark.parametrize("block, small", [(boosting.BLOCK, 0), (4, 60), (boosting.BLOCK, boosting.SMALL_LEAF)])
+def test_first_tree_is_the_brute_force_one(spark, monkeypatch, block, small):
+    """Leaf by leaf, the leaf of the largest gain first; also with every query cut into pieces, and with leaves whose
+    rows are never fetched, late or from the start."""
     monkeypatch.setattr(boosting, "BLOCK", block)
+    monkeypatch.setattr(boosting, "SMALL_LEAF", small)
     frame = training(spark, 15, 14)
     rows = frame.collect()
     p = replace(SMALL, rounds=1, learning_rate=1.0, top=5)
