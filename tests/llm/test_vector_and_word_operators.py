@@ -9,7 +9,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from relrank.llm import treemerge, variants, whitening
 from relrank.llm.queries import op11_whitening, op12_exact_dedup, op13_spelling_variants
@@ -124,7 +123,7 @@ def texts(spark, rows, parts):
     return spark.createDataFrame(full, "doc_id long, text string, sha string, run int, keep_id int").repartition(parts)
 
 
-@pytest.mark.parametrize("parts", [1, 3, 40])
+@pytest.mark.parametrize("parts", [1, 12])
 def test_exact_duplicates(spark, parts):
     rng = random.Random(parts)
     rows = [(i, rng.choice(["a", "A", "Ab", "aB", "é", "É", "ÉA", "éa", "", None, "İ", "ı", "x" * 200_000, "same TEXT"])) for i in range(400)]
