@@ -227,6 +227,67 @@ def test_passages_of_the_stated_similarity_are_found(spark):
     assert similar <= set(found) and all(found[i] == i - 1000 for i in found)
 
 
+def test_joint_windows_hold_every_long_range_once():
+    rng = np.random.default_rng(4)
+    one, two = (passages.compact_windows(rng.permutation(80).astype(np.uint64) << np.uint64(40), np.array([0, 50, 80]), 6) for _ in range(2))
+    i, j = passages.joint_windows(one, two, 6)
+    for start, end in ((0, 50), (50, 80)):
+        for a in range(start, end):
+            for b in range(a + 5, end):
+                inside = [(l <= a) & (a <= c) & (c <= b) & (b <= r) for l, c, r in (one, two)]
+                assert (inside[0][i] & inside[1][j]).sum() == 1
+    assert len(set(zip(i.tolist(), j.tolist()))) == len(i)
+
+
+def test_passages_in_another_order_self_repeating_and_long(spark):
+    """Recall on passages of 0.75 and more whose sentences are shuffled, that repeat themselves, or that are long."""
+    rng = random.Random(41)
+    rows, want = [], {}
+    for k in range(90):
+        own = [[f"k{k}s{i}w{j}" for j in range(25)] for i in range(8)]
+        if k % 3 == 0:
+            one, two = sum(own, []), sum(rng.sample(own, 8), [])
+        elif k % 3 == 1:
+            one = sum(own[:3] * 3, [])
+            two = one[:40] + ["edit"] + one[41:]
+        else:
+            one = [f"k{k}w{j}" for j in range(600)]
+            two = [f"e{j}" if j % 60 == 30 else w for j, w in enumerate(one)]
+        a, b = shingle_set(" ".join(one)), shingle_set(" ".join(two))
+        want[1000 + k] = len(a & b) >= 0.75 * len(a | b)
+        rows += [(k, f"{sentence(rng, 70)} {' '.join(one)} {sentence(rng, 30)}")]
+        rows += [(1000 + k, f"{sentence(rng, 20)} {' '.join(two)} {sentence(rng, 80)}")]
+    found = {s["doc_id"] for s in passages.duplicate_passages(documents(spark, rows)).collect()}
+    similar = {i for i, near in want.items() if near}
+    missed = {kind: sum(i % 3 == (1000 + kind) % 3 for i in similar - found) for kind in range(3)}
+    assert len(similar) > 80 and len(similar - found) <= 0.1 * len(similar), missed
+
+
+def test_a_line_in_many_texts_pairs_nobody_but_copies(spark, monkeypatch):
+    """Texts that share a line meet none of each other, two of them that also share a passage do."""
+    rng = random.Random(43)
+    line, body = sentence(rng, 40), sentence(rng, 60)
+    rows = [(i, f"{sentence(rng, 60)} {line} {sentence(rng, 60)}") for i in range(400)]
+    rows += [(500 + i, f"{sentence(rng, 60)} {line} {body}") for i in range(3)]
+    compared = []
+    near_pairs = passages._near_pairs
+
+    def counted(pairs, around):
+        compared.append(pairs.count())
+        return near_pairs(pairs, around)
+
+    monkeypatch.setattr(passages, "_near_pairs", counted)
+    spans = passages.duplicate_passages(documents(spark, rows)).collect()
+    assert {s["doc_id"] for s in spans} == {501, 502}
+    assert compared[0] <= 10
+
+
+def test_a_text_of_one_repeated_word_is_no_path(spark):
+    rows = [(1, "x " * 200_000), (2, "y " * 100 + "x " * 150_000), (3, "a b c " * 50_000)]
+    spans = passages.duplicate_passages(documents(spark, rows)).collect()
+    assert {(s["doc_id"], s["first_doc_id"]) for s in spans} == {(2, 1)}
+
+
 def labelled(spark, n=600):
     rng = random.Random(2)
     rows, labels = [], []
