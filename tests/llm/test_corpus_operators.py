@@ -363,3 +363,21 @@ def test_pipeline(spark):
     assert n <= math.ceil(total / packing.CAPACITY) + 1
     whole = corpus_pipeline.run(spark, folder)
     assert whole.agg(F.sum("length")).first()[0] == total
+
+
+def test_pipeline_rows_that_share_an_id(spark):
+    """Repeated ids with equal and unequal texts and missing ids: one row of each copy stays, unique texts all do."""
+    rng = random.Random(21)
+    copy, unique, shared = sentence(rng, 80), sentence(rng, 80), sentence(rng, 70)
+    rows = [(7, copy), (3, copy), (7, unique), (9, "same words here"), (9, "same words here"), (None, copy), (None, copy)]
+    rows += [(11, f"{sentence(rng, 90)} {shared}"), (11, f"{shared} {sentence(rng, 30)}"), (11, sentence(rng, 20)), (None, None), (5, "")]
+    frame = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    docs = spark.createDataFrame(frame, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    single = stages["ngram_jaccard"](spark, docs, "")
+    assert sorted(r["text"] or "" for r in single.collect()) == sorted(t or "" for t in {t for _, t in rows})
+    cut = stages["substring_dedup"](spark, single, "").collect()
+    texts = [r["text"] or "" for r in cut]
+    assert sum(shared in t for t in texts) == 1 and sum(copy in t for t in texts) == 1 and unique in texts
+    assert len(cut) == single.count() and all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in cut)
+    assert {r["doc_id"] for r in cut if r["text"] == unique} == {7}
