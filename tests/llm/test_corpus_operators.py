@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -66,6 +67,49 @@ def test_templates_go_and_articles_stay(spark):
         assert got[200 + i] == "A copied article"
 
 
+def test_counts_alone_take_out_what_a_site_repeats(spark):
+    """Pages put together from known blocks, without marks and names, on a large host where each block is on few pages."""
+    rng = random.Random(12)
+    blocks = [f"<div><p>Box {k}</p><ul><li>link {k}</li></ul></div>" for k in range(40)]
+    rows, want, boxes = [], {}, Counter()
+    for i in range(200):
+        own = [f"Text {i} part {j}" for j in range(rng.randrange(1, 4))]
+        shown = rng.sample(range(40), 2)
+        boxes.update(shown)
+        body = blocks[shown[0]] + "".join(f"<p>{x}</p>" for x in own) + blocks[shown[1]]
+        rows.append((i, "http://large.example/x", f"<html><body>{body}</body></html>", None))
+        want[i] = (own, shown)
+    rows += [(1000 + k, "http://copies.example/", rows[0][2], None) for k in range(20)]
+    frame = pages(spark, rows)
+    got = {r["page_id"]: r["main_text"] for r in html.main_text(frame, marks=False).collect()}
+    for i, (own, shown) in want.items():
+        first, last = ("" if boxes[k] >= html.MIN_PAGES else f"Box {k} link {k}" for k in shown)
+        assert got[i] == " ".join([first, *own, last]).strip()
+    assert len({got[1000 + k] for k in range(20)}) == 1 and want[0][0][0] in got[1000] and "Box" in got[1000]
+    found = {(r["host"], r["subtree"]): r["n_pages"] for r in html.site_templates(html.page_subtrees(frame)).collect()}
+    brute = Counter()
+    for host, source in {("large.example" if i < 1000 else "copies.example", h) for i, _, h, _ in rows}:
+        brute.update({(host, d) for d in html.Page(source).digests})
+    assert found == {k: n for k, n in brute.items() if n >= html.MIN_PAGES}
+
+
+def test_what_holds_the_article_stays():
+    article = "<article><h1>T</h1><p>Body of it.</p></article>"
+    for around in ("<div class='has-sidebar'>{}</div>", "<form>{}<input></form>", "<div class=sidebar>{}</div>", "<div id=page-sidebar><div>{}</div></div>"):
+        assert html.Page("<nav>menu</nav>" + around.format(article)).text() == "T Body of it."
+        assert html.Page(article + around.format("<article><p>Teaser</p></article>")).text() in ("T Body of it.", "T Body of it. Teaser")
+    assert html.Page(article + "<aside><article><p>Teaser</p></article></aside>").text() == "T Body of it."
+    assert html.Page("<article><p>a</p><p class='market-share'>b</p><div class='ad-slot'>c</div></article>").text() == "a b"
+    assert html.Page("<form><div>the long text of this page</div></form><div class='site-footer'>x</div>").text() == "the long text of this page"
+
+
+def test_deep_and_odd_pages_take_linear_time():
+    for source in ("<div>" * 60_000 + "x", "<a href=\"x>y" * 40_001, "<a b='\"" * 40_000, "<p>a<b>" * 30_000, "<ul><li>" * 30_000, "<a " * 40_000):
+        began = time.monotonic()
+        html.Page(source).text()
+        assert time.monotonic() - began < 20
+
+
 # Mixing --------------------------------------------------------------------------------------------------------------
 
 
