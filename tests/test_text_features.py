@@ -1,12 +1,14 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from relrank.functions import category, numeric
 from relrank.functions import text as tx
 from relrank.operators import features, lexical, semantic
+from relrank.operators.pairs import shared_values
 
 NAMES = ["red wooden dining table", "blue dining chair", "wooden desk", "table table lamp"]
 
@@ -134,3 +136,29 @@ def test_custom_encoder(spark, products):
 
     rows = semantic.encode_with(products, "product_id", load, "product_name").collect()
     assert len(rows) == 4 and all(math.isclose(sum(x * x for x in r["vector"]), 1.0) for r in rows)
+
+
+def test_pairs_are_not_shuffled_with_vectors_that_queries_share(spark):
+    """5,000 queries with 200 vectors: as one row per query they were too large to broadcast, as values they are not."""
+    rng = np.random.default_rng(1)
+    held = [[float(x) for x in v] for v in rng.normal(size=(200, 64))]
+    q = spark.createDataFrame([(i, held[i % 200]) for i in range(5000)], "query_id long, vector array<double>")
+    p = spark.createDataFrame([(1, held[0])], "product_id long, vector array<double>")
+    ids = spark.range(5000).select(F.col("id").alias("query_id"), F.lit(1).cast("long").alias("product_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "300k")
+    try:
+        out = semantic.attach_similarity(ids, q, p)
+        assert "hashpartitioning(query_id" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 5000
+        assert out.where("query_id = 400").first()["semantic_similarity"] == 1.0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_shared_values_keep_every_key(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b")], "query_id long, query string")
+    shared = shared_values(rows, "query_id", "query", "text_id")
+    back = shared.ids.join(shared.values, "text_id").select("query_id", "query")
+    assert shared.values.count() == 3
+    assert sorted(back.collect()) == sorted(rows.collect())
