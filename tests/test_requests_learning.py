@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from relrank.operators import boosting, fingerprint, learning, metrics, requests, semantic
 from relrank.operators.trees import Tree, TreeEnsemble, walk
 from relrank.session import scratch_path
+from relrank.plans import catalog
 from relrank.sources import tables
 from relrank.streaming import ranking as stream_ranking
 from relrank.streaming import signals
@@ -406,3 +407,33 @@ def test_other_models(spark):
         learning.require_trainable(bad, NAMES)
     with pytest.raises(ValueError, match="Grades"):
         learning.require_trainable(train.withColumn("relevance_score", F.lit(5)), NAMES)
+
+
+def test_candidates_by_id_score_as_with_all_fields(spark):
+    """The table of products has the fields; a product that is not in it counts as one without fields."""
+    rows = requests.explode_requests(nested(spark).filter("request_id = 'r1'"))
+    rows = rows.withColumn("product_description", F.lit("solid  oak\ntop"))
+    table = rows.where("product_id <> 3").select(*requests.S.PRODUCT_COLUMNS)
+    empty = {c: F.lit(None).cast(t) for c, t in rows.dtypes if c in requests.S.PRODUCT_COLUMNS and c != "product_id"}
+    unknown = F.col("product_id") == 3
+    full = rows.withColumns({c: F.when(unknown, e).otherwise(F.col(c)) for c, e in empty.items()})
+    models = requests.fit_models(spark.createDataFrame([(1, "oak desk"), (2, "lamp")], "product_id long, product_name string"))
+    by_id = rows.drop(*empty)
+    want = requests.score_candidates(full, models)
+    got = requests.score_candidates(by_id, models, table)
+    assert sorted(got.select(want.columns).collect()) == sorted(want.collect())
+    assert requests.rank_requests(by_id, models, products=table).count() == 2
+
+
+def test_requests_are_nested_without_the_texts_of_their_products(spark, small):
+    i = catalog.Inputs(spark, small)
+    assert dict(catalog._nested(i, "inner").dtypes)["products"] == "array<struct<product_id:bigint>>"
+    whole = requests.explode_requests(catalog._nested(i, "inner")).select("request_id", "product_id")
+    assert sorted(whole.collect()) == sorted(i.lines.select("request_id", "product_id").collect())
+
+
+def test_responses_hold_every_candidate(spark, small):
+    """Also of requests that ask for a few: the response tells all of them apart."""
+    out = catalog.all_queries()["ranking_responses"](spark, small)
+    found = out.agg(F.sum(F.size(F.split("results", ",")))).first()[0]
+    assert found == catalog.Inputs(spark, small).lines.count()
