@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from relrank.functions import category, numeric
 from relrank.functions import text as tx
 from relrank.operators import features, lexical, semantic
-from relrank.operators.pairs import shared_values
+from relrank.operators.pairs import few, shared_values
 
 NAMES = ["red wooden dining table", "blue dining chair", "wooden desk", "table table lamp"]
 
@@ -162,3 +162,29 @@ def test_shared_values_keep_every_key(spark):
     back = shared.ids.join(shared.values, "text_id").select("query_id", "query")
     assert shared.values.count() == 3
     assert sorted(back.collect()) == sorted(rows.collect())
+
+
+def test_few_values_are_broadcast_below_any_threshold_of_the_session(spark, queries, products, pairs):
+    rng = np.random.default_rng(5)
+    held = [(k, rng.random(8).tolist()) for k in range(len(NAMES))]
+    vectors = spark.createDataFrame(held, "id long, vector array<double>")
+    q, p = vectors.withColumnRenamed("id", "query_id"), vectors.withColumnRenamed("id", "product_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = [
+            semantic.attach_similarity(pairs, q, p),
+            features.feature_matrix(pairs, queries, products),
+            lexical.bm25_pairs(pairs, queries, products, lexical.fit_bm25(products)),
+        ]
+        for df, wide in zip(found, ("query_vector#", "q_words#", "bm25_query#"), strict=True):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+            assert not any("text_id" in j or "vector_id" in j for j in joins), (wide, plan)
+            assert df.count() == pairs.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_many_values_are_left_to_spark(spark, products):
+    assert "broadcast" in few(products)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in few(products, limit=10)._jdf.queryExecution().logical().toString().lower()
