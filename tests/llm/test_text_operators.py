@@ -408,3 +408,10 @@ def test_token_counts(spark):
     rows = trie.token_counts(docs.withColumn("n_tokens", F.lit("old"))).collect()
     assert len(rows) == 4 and {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3)} == {0}
     assert len({r["n_tokens"] for r in rows if r["doc_id"] == 1}) == 1 and trie.token_counts(docs.limit(0)).count() == 0
+
+
+def test_pairs_of_the_last_step_are_documents_not_places(spark):
+    """Two texts that share a passage share many places, but are one pair."""
+    rows = [(doc, at, doc == 2, False, token) for doc in (1, 2) for at in range(20) for token in range(at, at + 60)]
+    tokens = spark.createDataFrame(rows, "doc_id long, at int, unsettled boolean, repeats boolean, token long")
+    assert [tuple(r) for r in passages._prefix_pairs(tokens).collect()] == [(2, 1)]
