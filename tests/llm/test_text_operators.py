@@ -415,3 +415,32 @@ def test_pairs_of_the_last_step_are_documents_not_places(spark):
     rows = [(doc, at, doc == 2, False, token) for doc in (1, 2) for at in range(20) for token in range(at, at + 60)]
     tokens = spark.createDataFrame(rows, "doc_id long, at int, unsettled boolean, repeats boolean, token long")
     assert [tuple(r) for r in passages._prefix_pairs(tokens).collect()] == [(2, 1)]
+
+
+def test_the_fewest_different_shingles_of_a_passage_through_a_place():
+    rng, short = np.random.default_rng(3), passages._SHORT
+    for n, kinds in ((46, 3), (91, 30), (200, 1), (200, 20), (120, 1000)):
+        hashes = rng.integers(0, kinds, n).astype(np.uint64)
+        counts = [len(set(hashes[s : s + short].tolist())) for s in range(n - short + 1)]
+        brute = [min(counts[max(0, p - short + 1) : min(p, n - short) + 1]) for p in range(n)]
+        assert passages.fewest_different(hashes).tolist() == brute
+
+
+def test_texts_that_repeat_some_words_and_share_one_line_are_no_pairs(spark, monkeypatch):
+    """A word said twice is no reason to compare a text with everything that shares a line with it."""
+    rng = random.Random(44)
+    line, body = sentence(rng, 40), sentence(rng, 60)
+    twice = [sentence(rng, 6) for _ in range(403)]
+    rows = [(i, f"{sentence(rng, 60)} {twice[i]} {line} {twice[i]} {sentence(rng, 60)}") for i in range(400)]
+    rows += [(500 + i, f"{sentence(rng, 60)} {twice[400 + i]} {line} {twice[400 + i]} {body}") for i in range(3)]
+    compared = []
+    near_pairs = passages._near_pairs
+
+    def counted(pairs, around):
+        compared.append(near_pairs(pairs, around).count())
+        return near_pairs(pairs, around)
+
+    monkeypatch.setattr(passages, "_near_pairs", counted)
+    spans = passages.duplicate_passages(documents(spark, rows)).collect()
+    assert {s["doc_id"] for s in spans} == {501, 502}
+    assert compared[0] <= 10

@@ -3,7 +3,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from relrank.session import FREE_SHUFFLES, materialize
+from relrank.session import FREE_SHUFFLES, materialize, scratch
 
 
 def _shuffle_files(spark) -> set[str]:
@@ -25,3 +25,15 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert not left
     assert written.count() == 20000 and rows.count() == 20000
     assert spark.conf.get(FREE_SHUFFLES, None) == set_before
+
+
+def test_a_block_deletes_the_tables_that_it_does_not_keep(spark):
+    with scratch(spark, "outer"):
+        with scratch(spark, "inner"):
+            gone = materialize(spark.range(5), "gone").inputFiles()
+            inner = materialize(spark.range(6), "inner")
+        assert not any(Path(f.removeprefix("file://")).exists() for f in gone)
+        assert inner.count() == 6
+        outer = materialize(spark.range(7), "outer")
+    assert not any(Path(f.removeprefix("file://")).exists() for f in inner.inputFiles())
+    assert outer.count() == 7
