@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,11 +124,14 @@ def request_shape(requests: DataFrame, width: str = "1 day", lateness: str = "1
     )
 
 
+BUCKETS = 4096  # groups of request keys that share one state
+
+
 class _Reuse(StatefulProcessor):
-    """Requests of one key: those that wait for the watermark, and when the last answer was stored.
+    """Requests of a bucket of keys: those that wait for the watermark, and when the last answer of a key was stored.
 
-    A request is decided once the watermark has passed it: nothing earlier can come then. State goes when nothing waits
-    and the stored answer is older than the TTL.
+    A request is decided once the watermark has passed it: nothing earlier can come then. A stored answer goes when it
+    is older than the TTL.
     """
 
     def __init__(self, step: int, id_type: str) -> None:
@@ -137,42 +139,41 @@ class _Reuse(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.stored = handle.getValueState("stored", "micros long")
-        self.waiting = handle.getListState("waiting", f"micros long, request_id {self.id_type}")
+        self.stored = handle.getListState("stored", "request_key string, micros long")
+        self.waiting = handle.getListState("waiting", f"request_key string, micros long, request_id {self.id_type}")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        added = [r for frame in rows for r in zip(frame["micros"].tolist(), frame["request_id"].tolist())]
-        added = [r for r in added if r[1] is not None and r[1] == r[1]]  # a row without request only moves the watermark
+        columns = ("request_key", "micros", "request_id")
+        added = [r for frame in rows for r in zip(*(frame[c].tolist() for c in columns))]
+        added = [r for r in added if r[2] is not None and r[2] == r[2]]  # a row without request only moves the watermark
         if added:
             self.waiting.appendList(added)
-            self.handle.registerTimer(_millis(min(added)[0]))
+            self.handle.registerTimer(_millis(min(r[1] for r in added)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         held = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due = [r for r in held if r[0] <= passed]
-        stored = self.stored.get()[0] if self.stored.exists() else None
-        times = np.array([t for t, _ in due], np.int64)
-        hits, i = np.ones(len(due), bool), 0
-        while i < len(due):  # from one stored answer to the next
-            if stored is None or times[i] >= stored + self.step:
-                hits[i], stored = False, int(times[i])
-            i = max(i, int(np.searchsorted(times, stored + self.step, "left")))
-        later = held[len(due) :]
+        due, later = [r for r in held if r[1] <= passed], [r for r in held if r[1] > passed]
+        stored = dict(self.stored.get()) if self.stored.exists() else {}
+        before, hits = dict(stored), []
+        for name, micros, _ in due:
+            last = stored.get(name)
+            hits.append(last is not None and micros < last + self.step)
+            if not hits[-1]:
+                stored[name] = micros
+        stored = {name: micros for name, micros in stored.items() if micros + self.step > passed}
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if stored != before:
+            self.stored.put(list(stored.items())) if stored else self.stored.clear()
         if later:
-            self.waiting.put(later)
-            self.handle.registerTimer(_millis(later[0][0]))
-        elif held:
-            self.waiting.clear()
-        if stored is not None:
-            if later or stored + self.step > passed:
-                self.stored.update((stored,))
-                self.handle.registerTimer(_millis(stored + self.step))
-            else:
-                self.stored.clear()
+            self.handle.registerTimer(_millis(min(r[1] for r in later)))
+        if stored:
+            # One timer for all: the answers that are too old by then go together.
+            self.handle.registerTimer(_millis(max(stored.values()) + self.step))
         if due:
-            yield pd.DataFrame({"request_id": [r for _, r in due], "reused": hits})
+            yield pd.DataFrame({"request_id": [r[2] for r in due], "reused": hits})
 
     def close(self) -> None:
         pass
@@ -186,15 +187,18 @@ def _millis(micros: int) -> int:
 def stream_reuse(log: DataFrame, ttl: float, lateness: str = "10 minutes") -> DataFrame:
     """`(request_id, reused)` for a stream of requests, by the rule of the batch `reuse`.
 
-    Requests may come up to `lateness` behind the latest one, in any order: they wait in the state of their key until
-    the watermark has passed them. Later ones are dropped and counted by Spark (numRowsDroppedByWatermark). A row without
+    Requests may come up to `lateness` behind the latest one, in any order: they wait in the state of their key's
+    bucket until the watermark has passed them. A state per bucket, not per key, since most keys have few requests and
+    each state costs a worker several calls a micro-batch. Later ones are dropped and counted by Spark (numRowsDroppedByWatermark). A row without
     request_id is no request, it only moves the watermark: `closing_row` makes the one that ends a stream.
     The state needs the RocksDB store, which `stateful` sets for a session.
     """
     id_type = log.schema["request_id"].dataType.simpleString()
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = log.withWatermark("ts", lateness).select("request_id", F.coalesce("request_key", F.lit("")).alias("request_key"), "ts", micros.alias("micros"))
-    return rows.groupBy("request_key").transformWithStateInPandas(
+    # Rows without request have a bucket of their own: a null would turn the ids of its group into fractions.
+    bucket = F.when(F.col("request_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("request_key"), F.lit(BUCKETS)))
+    return rows.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(
         _Reuse(int(ttl * 1_000_000), id_type), f"request_id {id_type}, reused boolean", "Append", "EventTime"
     )
 

@@ -437,3 +437,24 @@ def test_responses_hold_every_candidate(spark, small):
     out = catalog.all_queries()["ranking_responses"](spark, small)
     found = out.agg(F.sum(F.size(F.split("results", ",")))).first()[0]
     assert found == catalog.Inputs(spark, small).lines.count()
+
+
+def test_stream_reuse_keeps_a_state_per_bucket_of_keys(spark):
+    """Many keys of few requests are decided in as many states as there are buckets."""
+    signals.stateful(spark)
+    folder = scratch_path(spark, "stream-buckets")
+    keys = 3 * signals.BUCKETS
+    ids = spark.range(2 * keys).select(
+        (F.col("id") + 2**53 + 1).alias("request_id"), F.concat(F.lit("k"), (F.col("id") % keys).cast("string")).alias("request_key"),
+        F.timestamp_seconds(F.unix_seconds(F.lit(T0)) + F.floor(F.col("id") / keys) * 100).alias("ts"),
+    )
+    ids.coalesce(1).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(ids.schema).parquet(f"{folder}/in")
+    signals.run_to_table(signals.stream_reuse(stream, 300), f"{folder}/out", f"{folder}/cp")
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{folder}/cp")
+    assert 0 < waiting.select("key").distinct().count() <= signals.BUCKETS
+    signals.closing_row(ids, "2 hours").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    signals.run_to_table(signals.stream_reuse(stream, 300), f"{folder}/out", f"{folder}/cp")
+    got = spark.read.parquet(f"{folder}/out")
+    assert got.count() == 2 * keys
+    assert tuple(got.where("reused").agg(F.min("request_id"), F.count("*")).first()) == (2**53 + 1 + keys, keys)
