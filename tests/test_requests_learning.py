@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relrank.operators import boosting, fingerprint, learning, metrics, requests, semantic
+from relrank.operators import boosting, fingerprint, learning, metrics, requests, semantic, trees
 from relrank.operators.trees import Tree, TreeEnsemble, walk
 from relrank.session import scratch_path
 from relrank.plans import catalog
@@ -458,3 +458,33 @@ def test_stream_reuse_keeps_a_state_per_bucket_of_keys(spark):
     got = spark.read.parquet(f"{folder}/out")
     assert got.count() == 2 * keys
     assert tuple(got.where("reused").agg(F.min("request_id"), F.count("*")).first()) == (2**53 + 1 + keys, keys)
+
+
+def test_a_pass_walks_only_to_the_leaves_it_counts():
+    rng = np.random.default_rng(5)
+    feature = np.where(np.arange(15) < 7, rng.integers(0, 3, 15), -1)
+    left = np.where(feature >= 0, 2 * np.arange(15) + 1, 0)
+    tree = Tree(feature, rng.integers(0, 9, 15), left, np.where(feature >= 0, left + 1, 0), rng.standard_normal(15), np.zeros(15))
+    x = rng.integers(0, 9, (400, 3)).astype(np.uint8)
+    rows, columns = np.flatnonzero(rng.random(400) < 0.7), np.ascontiguousarray(x.T)
+    ends = walk(tree, x)
+    for leaves in ([7], [8, 11, 14], list(range(7, 15))):
+        got = {leaf: own.tolist() for leaf, own in trees.parts(tree, columns, rows, leaves)}
+        assert got == {leaf: [r for r in rows.tolist() if ends[r] == leaf] for leaf in leaves}
+    score = x[:, 0] / 7
+    want = score + tree.value[ends]
+    trees.add_tree(score, tree, columns)
+    assert score.tolist() == want.tolist()
+
+
+def test_what_reaches_a_pass(spark):
+    """Drawn rows are bits and not numbers of rows, and pointwise curvatures, which are one, are not sent."""
+    fit = boosting.RankerFit(training(spark, 10, 10), None, NAMES, [SMALL, replace(SMALL, objective="pointwise")])
+    sent = fit._gradients(fit.settings).collect()
+    assert sum(columns.shape[1] for columns, _ in sent) == 100
+    for columns, settings in sent:
+        assert columns.shape[0] == len(NAMES) and settings[1][2] is None
+        for bits, gradient, _ in settings:
+            assert bits.nbytes == -(-columns.shape[1] // 8)
+            assert len(gradient) == np.unpackbits(bits, count=columns.shape[1]).sum()
+    fit.close()
